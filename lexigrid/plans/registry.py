@@ -1,0 +1,6 @@
+"""Every query of the reference's operators with the SQL that it must equal."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
