@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, warc
+from . import bpe, secrets, sharding, warc
 
-_MODULES = (warc, sharding, secrets)
+_MODULES = (bpe, warc, sharding, secrets)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
