@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, secrets, sharding, toxicity, warc
+from . import bpe, decontamination, jaccard, secrets, sharding, toxicity, warc
 
-_MODULES = (toxicity, decontamination, bpe, warc, sharding, secrets)
+_MODULES = (jaccard, toxicity, decontamination, bpe, warc, sharding, secrets)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
