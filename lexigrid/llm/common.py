@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of frames that nothing refers to any more.
+
+    Spark removes them when the driver's garbage collector finds their handles; a driver with much
+    memory and few objects seldom runs it, and the disks of all executors fill meanwhile.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared storage through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
