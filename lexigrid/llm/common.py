@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +56,10 @@ def release(spark: SparkSession) -> None:
     Spark removes them when the driver's garbage collector finds their handles; a driver with much
     memory and few objects seldom runs it, and the disks of all executors fill meanwhile.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees the plans, the second the shuffles that only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
