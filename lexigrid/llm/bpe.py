@@ -73,8 +73,9 @@ class Vocabulary:
 class Codec:
     """Encoder and decoder of one worker."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        v = self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, memory: int = MEMORY_ENTRIES):
+        v, self.memory = vocabulary, memory
+        self.vocabulary = v
         self.automaton = SuffixAutomaton.unpacked(v.automaton)
         self.rank, self.bytes_of = v.rank, v.bytes_of
         self._spines: tuple[dict, dict] = ({}, {})
@@ -125,7 +126,7 @@ class Codec:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) >= 2 * MEMORY_ENTRIES:
+        if len(self._fits) >= 2 * self.memory:
             self._fits.clear()
         self._fits[left * self._wide + right] = answer
         return answer
@@ -201,7 +202,7 @@ class Codec:
             ids = self.encode_piece(piece.encode())
             known = b"".join(b"%d," % i for i in ids), b"".join(map(self.bytes_of.__getitem__, ids))
             if len(piece) <= MEMORY_CHARS:
-                if len(self._pieces) >= MEMORY_ENTRIES:
+                if len(self._pieces) >= self.memory:
                     self._pieces.clear()
                 self._pieces[piece] = known
         return known
@@ -218,7 +219,7 @@ class Codec:
             found = [self._piece(p) for p in self.pieces(" " + chunk)]
             known = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
         if len(chunk) <= MEMORY_CHARS:
-            if len(self._chunks) >= MEMORY_ENTRIES:
+            if len(self._chunks) >= self.memory:
                 self._chunks.clear()
             self._chunks[chunk] = known
         return known
@@ -260,30 +261,32 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def worker_codec(shared) -> Codec:
+def worker_codec(shared, memory: int = MEMORY_ENTRIES) -> Codec:
     """The codec of this Python worker, made from a broadcast vocabulary at first use."""
-    key = str(getattr(shared, "id", id(shared)))
+    key = f"{getattr(shared, 'id', id(shared))}/{memory}"
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
+        _CODECS[key] = Codec(shared.value, memory)
     return _CODECS[key]
 
 
-def encode_documents(df: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def encode_documents(df: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False, with_text: bool = False,
+                     memory: int = MEMORY_ENTRIES) -> DataFrame:
     """Encode every text and decode the ids again.
 
     Adds n_tokens, ids_sha256, decoded_sha256 and, as asked, ``ids`` (array) and ``decoded`` to the columns
     of ``df``, which must not have these names (``pipeline`` and ``op3`` select what they need first). Null
     texts count as empty: no tokens, the digests of the empty string. Texts are encoded on their own, so
     repeated rows, ties and any length are alike; a text of one endless word needs memory in proportion.
-    The vocabulary has a fixed size and is broadcast.
+    The vocabulary has a fixed size and is broadcast. A worker remembers ``memory`` pieces; with fewer it is
+    slower and smaller.
     """
     spark = df.sparkSession
     small_arrow_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(path or default_vocabulary()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = worker_codec(shared)
+        codec = worker_codec(shared, memory)
         for pdf in batches:
             rows = []
             for t in pdf[text]:

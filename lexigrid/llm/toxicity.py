@@ -135,15 +135,15 @@ def label_model(matrix: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tup
     right = 0.9999
     for step in range(rounds):
         prior = (q.sum() + 1) / (n + 2)
-        a = (q @ matrix + 0.5) / (q.sum() + 1)
-        b = ((1 - q) @ matrix + 1) / ((1 - q).sum() + 2)
+        a = (q.astype(np.float32) @ matrix + 0.5) / (q.sum() + 1)
+        b = ((1 - q).astype(np.float32) @ matrix + 1) / ((1 - q).sum() + 2)
         right = np.clip((np.where(labels == 1, q, 1 - q).sum() + 200) / (n + 200.02), 0.99, 0.9999)
         if step == 3 and m > 1:
             group = _correlated(matrix, q)
             weight = 1 / np.bincount(group, minlength=m)[group]
         # A voter that doesn't fire abstains, which says nothing: most know words of one language only.
         # Votes that agree by the text's length more than by its kind must not outweigh a given label.
-        z = np.log(prior / (1 - prior)) + np.minimum(matrix @ (weight * np.log(a / b)), 6.0) + np.where(labels == 1, 1, -1) * np.log(right / (1 - right))
+        z = np.log(prior / (1 - prior)) + np.minimum(matrix @ (weight * np.log(a / b)).astype(np.float32), 6.0) + np.where(labels == 1, 1, -1) * np.log(right / (1 - right))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - q).max(initial=0) < 1e-6:
             break
@@ -154,7 +154,7 @@ def label_model(matrix: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tup
 def _correlated(matrix: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The smallest voter of each voter's group: those joined by correlations given the label."""
     m, found = matrix.shape[1], np.zeros((matrix.shape[1],) * 2)
-    for w in (q, 1 - q):
+    for w in (q.astype(np.float32), (1 - q).astype(np.float32)):
         total = max(w.sum(), 1e-9)
         mean = (w @ matrix) / total
         cov = (matrix.T * w) @ matrix / total - np.outer(mean, mean)
@@ -177,14 +177,14 @@ def _correlated(matrix: np.ndarray, q: np.ndarray) -> np.ndarray:
 def linear_classifier(matrix: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by gradient steps with momentum."""
     n, m = matrix.shape
-    x = np.hstack([matrix, np.ones((n, 1))])
+    x = np.hstack([matrix, np.ones((n, 1), np.float32)])
     w = np.zeros(m + 1)
     w[-1] = np.log((target.sum() + 1) / (n - target.sum() + 1))
     reg = np.append(np.full(m, ridge / n), 0.0)
     rate, first, second = 0.1, np.zeros(m + 1), np.zeros(m + 1)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ (p - target) / n + reg * w
+        p = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32)).astype(float), -40, 40)))
+        grad = x.T @ (p - target).astype(np.float32) / n + reg * w
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         w -= rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
     return w[:-1], float(w[-1])
