@@ -148,7 +148,7 @@ def extract_html(df: DataFrame, html: str = "html") -> DataFrame:
             found = [html_text(h) if isinstance(h, str) else (None, None) for h in pdf[html]]
             yield pdf.assign(extracted=[f[0] for f in found], title=[f[1] for f in found])
 
-    return df.mapInPandas(run, df.withColumns({"extracted": F.lit(""), "title": F.lit("")}).schema)
+    return df.mapInPandas(run, df.withColumns({"extracted": F.lit(None).cast("string"), "title": F.lit(None).cast("string")}).schema)
 
 
 _NS = {"c": "urn:oasis:names:tc:opendocument:xmlns:container", "o": "http://www.idpf.org/2007/opf", "dc": "http://purl.org/dc/elements/1.1/"}
