@@ -273,7 +273,7 @@ def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out[c] = [next(names).tobytes() if n else None for n in counts]
             yield out
 
-    wide = df.withColumn(c, F.lit(b""))
+    wide = df.withColumn(c, F.lit(None).cast("binary"))
     named = df.mapInPandas(name_sets, wide.schema)
     right, keep = unused_names(wide, "kept_set", "kept_id")
     kept = firsts.select(F.col("c").alias(right), F.col("keep").alias(keep))

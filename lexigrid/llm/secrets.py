@@ -96,12 +96,16 @@ def update_ledger(versions: DataFrame, text: str, ledger: DataFrame | None = Non
     blobs, seen = _unseen(versions, text, ledger)
     scanned = scan_blobs(blobs, rules, seen)
     pairs = F.array(*[
-        F.struct(F.lit(r.version).alias("rule_version"), F.filter("fresh", lambda x, i=i: x["rank"] == i).alias("spans")) for i, r in enumerate(rules)
+        F.struct(F.lit(r.version).alias("rule_version"), F.filter("fresh", _of_rank(i)).alias("spans")) for i, r in enumerate(rules)
     ])
     out = scanned.select("blob", *([seen] if seen else []), F.explode(pairs).alias("p")).select("blob", *([seen] if seen else []), "p.*")
     return out.filter(~F.array_contains(seen, F.col("rule_version"))).drop(seen) if seen else out
 
 
+def _of_rank(i: int):
+    return lambda x: x["rank"] == i
+
+
 def _unseen(versions: DataFrame, text: str, ledger: DataFrame | None) -> tuple[DataFrame, str | None]:
     addressed = versions.select(text_or_empty(text).alias("text")).transform(lambda d: address(d, "text"))
     # One row of each text leaves a map task, so a text that a third of all rows repeat is no hot key.

@@ -245,7 +245,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         # Texts without candidates are done: all their words stay.
         rest["keys"] = [None if o else hashlib.sha256(b" ".join(words.data[s:e] for s, e in zip(words.starts[a:b], words.ends[a:b], strict=True))).digest()
                         for o, a, b in zip(open_, words.firsts, words.firsts[1:], strict=False)]
-        return pd.concat([out, rest], ignore_index=True)[columns]
+        for name in ("rank", "tag", "n_words"):  # whole numbers on both sides, or concat makes floats of them
+            out[name] = pd.array([pd.NA] * len(out), dtype="Int64")
+            rest[name] = rest[name].astype("Int64")
+        out["body"], rest["settled"] = None, None
+        return pd.concat([out, rest], ignore_index=True).reindex(columns=columns)
 
     mixed = f"settled boolean, p int, {PACKED}, rank long, tag long, body string, n_words long"
     extended = materialise(placed.groupBy("p").cogroup(hits.groupBy("p")).applyInPandas(extend, mixed), "extended")
