@@ -68,14 +68,25 @@ class Vocabulary:
         if any(b not in automaton.next for b in range(256)):
             raise ValueError("a vocabulary of bytes must have all 256 of them")
         self.automaton = automaton.packed()
+        self._codec: Codec | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_codec": None}
+
+    def codec(self, memory: int) -> Codec:
+        """The codec of this process. It goes when the vocabulary does, which a worker drops with its broadcast."""
+        if self._codec is None or self._codec.memory != memory:
+            self._codec = Codec(self, memory)
+        return self._codec
 
 
 class Codec:
     """Encoder and decoder of one worker."""
 
     def __init__(self, vocabulary: Vocabulary, memory: int = MEMORY_ENTRIES):
+        # Not the vocabulary itself: without a cycle both are freed at once.
         v, self.memory = vocabulary, memory
-        self.vocabulary = v
+        self.parts, self.ends, self.added = v.parts, v.ends, v.added
         self.automaton = SuffixAutomaton.unpacked(v.automaton)
         self.rank, self.bytes_of = v.rank, v.bytes_of
         self._spines: tuple[dict, dict] = ({}, {})
@@ -100,9 +111,9 @@ class Codec:
             known, part, ends = [], token, _NEVER
             while True:
                 known.append((part, ends))
-                if part not in self.vocabulary.parts:
+                if part not in self.parts:
                     break
-                halves = self.vocabulary.parts[part]
+                halves = self.parts[part]
                 part, ends = halves[side], self.rank[halves]
             known.reverse()
             self._spines[side][token] = known
@@ -135,7 +146,7 @@ class Codec:
         """Whether BPE makes this token of its own bytes (a file may hold tokens that no merges reach)."""
         known = self._whole.get(token)
         if known is None:
-            halves = self.vocabulary.parts.get(token)
+            halves = self.parts.get(token)
             known = self._whole[token] = len(self.bytes_of[token]) == 1 if halves is None else all(map(self._is_whole, halves)) and self._joins(*halves)
         return known
 
@@ -157,7 +168,7 @@ class Codec:
         """(length, token) of the tokens that end where the automaton is in ``state``, longest first."""
         known = self._ending.get(state)
         if known is None:
-            own = sorted(((len(self.bytes_of[t]), t) for t in self.vocabulary.ends.get(state, ()) if self._is_whole(t)), reverse=True)
+            own = sorted(((len(self.bytes_of[t]), t) for t in self.ends.get(state, ()) if self._is_whole(t)), reverse=True)
             up = self.automaton.link[state]
             known = self._ending[state] = own + (self._tokens_ending(up) if up > 0 else [])
         return known
@@ -245,7 +256,7 @@ class Codec:
         out: list[tuple[bytes, bytes]] = []
         for i, run in enumerate(runs):
             if i % 2:
-                token = self.vocabulary.added[run]
+                token = self.added[run]
                 out.append((b"%d," % token, self.bytes_of[token]))
             elif run:
                 out += self._run(run)
@@ -258,18 +269,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
-
-
-def worker_codec(shared, memory: int = MEMORY_ENTRIES) -> Codec:
-    """The codec of this Python worker, made from a broadcast vocabulary at first use."""
-    key = f"{getattr(shared, 'id', id(shared))}/{memory}"
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value, memory)
-    return _CODECS[key]
-
-
 def encode_documents(df: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False, with_text: bool = False,
                      memory: int = MEMORY_ENTRIES) -> DataFrame:
     """Encode every text and decode the ids again.
@@ -286,7 +285,7 @@ def encode_documents(df: DataFrame, text: str = "text", path: str | None = None,
     shared = spark.sparkContext.broadcast(Vocabulary(path or default_vocabulary()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = worker_codec(shared, memory)
+        codec = shared.value.codec(memory)
         for pdf in batches:
             rows = []
             for t in pdf[text]:
