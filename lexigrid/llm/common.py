@@ -93,7 +93,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_arrow_batches(spark: SparkSession, records: int = 2000, size: str = "16m") -> None:
-    """Bound what one Arrow batch to a Python worker holds, so that very long texts fit."""
+def small_arrow_batches(spark: SparkSession, records: int = 500, size: str = "4m") -> None:
+    """Bound what one Arrow batch to a Python worker holds, so that very long texts fit.
+
+    Operators that settle something within a batch ask for larger ones.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

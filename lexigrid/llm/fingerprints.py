@@ -90,7 +90,7 @@ def compare_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     each range meet afterwards.
     """
     spark = df.sparkSession
-    small_arrow_batches(spark, records=500)
+    small_arrow_batches(spark, 500, "16m")
     kind = df.schema[doc_id].dataType.simpleString()
     rows = df.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("body"))
     order = F.col("id").desc_nulls_last()

@@ -200,7 +200,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     of all their words.
     """
     spark = df.sparkSession
-    small_arrow_batches(spark)
+    small_arrow_batches(spark, 2000, "16m")
     parts = shuffle_partitions(spark)
     kind = df.schema[doc_id].dataType.simpleString()
     rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_LAST)))

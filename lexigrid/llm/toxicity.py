@@ -201,6 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     Rows without a label or id teach nothing; several labels of one id count as its largest. Without any
     toxic label there are no voters, and every text gets the share of toxic labels as its score.
     """
+    small_arrow_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & training_rows(F.col(doc_id)))
     chosen = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     total = known.count()

@@ -209,7 +209,7 @@ def write_pages(pages: DataFrame, folder: str, page_id: str = "page_id", url: st
     repeated rows of the smallest page_id are responses each. An empty table writes no file. File names
     follow from the partition, and a file appears as a whole, so a task that runs again replaces its own.
     """
-    small_arrow_batches(pages.sparkSession)
+    small_arrow_batches(pages.sparkSession, 2000, "16m")
     body = text_or_empty(html).cast("binary")
     rows = pages.select(
         F.col(page_id).cast("string").alias("id"), F.col(page_id).alias("order"), F.col(url).cast("string").alias("url"), body.alias("payload"),
@@ -263,7 +263,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     ``reason``. Archives larger than 2 GB are not read (no binary value is that large); the writer closes
     its files long before. Without ``payloads`` that column is null.
     """
-    small_arrow_batches(spark, records=1)
+    small_arrow_batches(spark, 1, "16m")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes that are handled in one piece; a piece ends between texts or between words.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
