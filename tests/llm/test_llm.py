@@ -64,6 +64,15 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
+def test_lm_score_backs_off_word_by_word(docs):
+    p = 10 ** lm_scoring.token_log10(np.log([0.2, 0.1, 0.05]), np.array([3, 2, 0]), 5)
+    assert np.allclose(p, [0.1 + 3 / 14, 0.05 + 2 / 14, 0.025 + 2 / 14]) and p.sum() < 1
+    rows = {r.doc_id: r for r in lm_scoring.score_texts(docs.filter("doc_id in (0, 7, 11)")).collect()}
+    # A mixture of whole texts is never more than log10(2) below the better of its parts, nor above it.
+    assert rows[7].score < max(rows[7].attention_score, rows[7].base_score) - 1
+    assert rows[11].attention_score < rows[11].score - 1000
+
+
 def test_attention_scores_each_unit_once_and_sums_to_one():
     v = attention.Vocabulary([b"the", b"of"])
     texts = ["the ab of abc", "", None, "q " * 200]
