@@ -73,6 +73,14 @@ def test_lm_score_backs_off_word_by_word(docs):
     assert rows[11].attention_score < rows[11].score - 1000
 
 
+def test_lm_fit_grows_with_the_input(spark):
+    v = attention.Vocabulary([b"the"])
+    few, many = (spark.range(n).selectExpr("id", "concat('the ab', id % 50, ' the cd', id % 7) body") for n in (1000, 64_000))
+    assert lm_scoring.fit_windows(few, v).count() == 1000 and 7000 < lm_scoring.fit_windows(many, v).count() < 9000
+    long = spark.createDataFrame([(1, "q " * 2000)], "id long, body string")
+    assert lm_scoring.fit_windows(long, v).count() == len(attention.cut_windows(np.array([2001]))[0])
+
+
 def test_attention_scores_each_unit_once_and_sums_to_one():
     v = attention.Vocabulary([b"the", b"of"])
     texts = ["the ab of abc", "", None, "q " * 200]
