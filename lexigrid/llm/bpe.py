@@ -17,14 +17,18 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import documents, small_arrow_batches
+from .common import documents, small_arrow_batches, unused_names
+from .tables import Lookup, Remembered
 
 #: The published splitting pattern of byte-level BPE. Fixed value.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries after which a worker's memory of pieces is emptied, and the longest text it keeps.
-MEMORY_ENTRIES, MEMORY_CHARS = 250_000, 48
+#: Pieces and stretches between spaces after which a worker's memory of them is emptied before its next batch.
+MEMORY_ENTRIES = 250_000
+#: Bytes of a piece up to which pieces are encoded in step, and places (as a power of 2) for answers of the pair test.
+STEP_BYTES, FITS_BITS = 512, 20
 _NEVER = 1 << 60
 
 
@@ -41,8 +45,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _spines(parts: dict, rank: dict, tokens: list[int], side: int) -> dict[int, list[tuple[int, int]]]:
+    """For each token the parts at one edge from its single byte up, each with the merge that ends it."""
+    known: dict[int, list[tuple[int, int]]] = {}
+    for token in tokens:
+        todo = [token]
+        while todo[-1] not in known and todo[-1] in parts:
+            todo.append(parts[todo[-1]][side])
+        for t in reversed(todo):
+            if t not in known:
+                half = parts[t][side] if t in parts else None
+                known[t] = [(t, _NEVER)] if half is None else [*known[half][:-1], (half, rank[parts[t]]), (t, _NEVER)]
+    return known
+
+
 class Vocabulary:
-    """What a vocabulary file says, with the automaton of its tokens; made once and sent to the workers."""
+    """What a vocabulary file says, with the automaton of its tokens, as arrays; made once and sent to the workers."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -50,6 +68,7 @@ class Vocabulary:
         model, letters = spec["model"], byte_letters()
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items() if t not in self.added}
+        words = dict(self.bytes_of)
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         ids = model["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -59,14 +78,37 @@ class Vocabulary:
         for a, b in pairs:
             self.parts.setdefault(ids[a + b], (ids[a], ids[b]))
         automaton = SuffixAutomaton(256)
-        words = {i: b for i, b in self.bytes_of.items() if i not in self.added.values()}
-        for b in words.values():
-            automaton.add(b)
-        self.ends: dict[int, list[int]] = {}
-        for i, b in words.items():
-            self.ends.setdefault(automaton.find(b), []).append(i)
+        ends = [(automaton.add(b), i) for i, b in words.items()]
+        ends = [(automaton.find(words[i]), i) for _, i in ends]
         if any(b not in automaton.next for b in range(256)):
             raise ValueError("a vocabulary of bytes must have all 256 of them")
+        self.wide = max(self.bytes_of) + 1
+        spines = [_spines(self.parts, self.rank, list(words), side) for side in (1, 0)]
+        #: Spines one after another: where each token's begins, its parts and the merges that end them.
+        self.spines = []
+        for known in spines:
+            first = np.zeros(self.wide + 1, np.int64)
+            first[list(known)] = [len(x) for x in known.values()]
+            order = sorted(known)
+            self.spines.append((np.concatenate([[0], np.cumsum(first)[:-1]]), *np.array([x for t in order for x in known[t]], np.int64).T))
+        self.size = np.zeros(self.wide, np.int32)
+        self.size[list(words)] = [len(b) for b in words.values()]
+        whole: dict[int, bool] = {}
+        for i in sorted(words, key=lambda i: len(words[i])):
+            halves = self.parts.get(i)
+            # A file may hold tokens that no merges reach.
+            whole[i] = len(words[i]) == 1 if halves is None else whole[halves[0]] and whole[halves[1]] and _joins(spines[0][halves[0]], spines[1][halves[1]], self.rank, halves)
+        own: dict[int, list[int]] = {}
+        for state, i in ends:
+            if whole[i]:
+                own.setdefault(state, []).append(i)
+        #: The longest token that ends where the automaton is in a state, and the next shorter one that ends each token.
+        self.longest, self.shorter = np.full(len(automaton.link), -1, np.int32), np.full(self.wide, -1, np.int32)
+        for state in sorted(range(1, len(automaton.link)), key=automaton.length.__getitem__):
+            next_one = self.longest[automaton.link[state]]
+            for i in sorted(own.get(state, ()), key=lambda i: len(words[i])):
+                self.shorter[i], next_one = next_one, i
+            self.longest[state] = next_one
         self.automaton = automaton.packed()
         self._codec: Codec | None = None
 
@@ -80,22 +122,37 @@ class Vocabulary:
         return self._codec
 
 
+def _joins(a: list[tuple[int, int]], b: list[tuple[int, int]], rank: dict, halves: tuple[int, int]) -> bool:
+    """Whether the two halves of a token, of these spines, stay whole until their own merge."""
+    i = j = 0
+    while i < len(a) - 1 or j < len(b) - 1:
+        (x, x_ends), (y, y_ends) = a[i], b[j]
+        r = rank.get((x, y), _NEVER)
+        if r < x_ends and r <= y_ends:
+            return False
+        i, j = (i + 1, j) if x_ends <= y_ends else (i, j + 1)
+    return halves in rank
+
+
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one worker. Pieces that it has not seen yet are encoded many at a time, byte by byte in step."""
 
     def __init__(self, vocabulary: Vocabulary, memory: int = MEMORY_ENTRIES):
         # Not the vocabulary itself: without a cycle both are freed at once.
         v, self.memory = vocabulary, memory
-        self.parts, self.ends, self.added = v.parts, v.ends, v.added
-        self.automaton = SuffixAutomaton.unpacked(v.automaton)
-        self.rank, self.bytes_of = v.rank, v.bytes_of
-        self._spines: tuple[dict, dict] = ({}, {})
-        self._fits: dict[int, bool] = {}
-        self._wide = max(v.bytes_of) + 1
-        self._ending: dict[int, list[tuple[int, int]]] = {}
-        self._whole: dict[int, bool] = {}
+        self.added, self.bytes_of = v.added, v.bytes_of
+        self._wide, self._size, self._longest, self._shorter = v.wide, v.size, v.longest, v.shorter
+        self._spines, self._arrays = v.spines, v.automaton
+        self._follow = Lookup(v.automaton["keys"], v.automaton["to"])
+        self._rank = Lookup(np.array([a * v.wide + b for a, b in v.rank], np.int64), np.fromiter(v.rank.values(), np.int32, len(v.rank)))
+        self._fits = Remembered(FITS_BITS)
+        self._listed = {i: b"%d," % i for i in v.bytes_of}
+        self._endless: SuffixAutomaton | None = None
+        #: Ids (as text, a comma behind each) and bytes of pieces, and of stretches between spaces with the space before.
         self._pieces: dict[str, tuple[bytes, bytes]] = {}
-        self._chunks: dict[str, tuple[bytes, bytes] | None] = {}
+        self._chunk_ids: dict[str, bytes] = {}
+        self._chunk_bytes: dict[str, bytes] = {}
+        self._letters = 0
         self._split = regex.compile(PIECES)
         # The same pattern in the faster module, where text has only letters and digits that both see alike.
         self._split_plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -104,166 +161,188 @@ class Codec:
 
     # -- compatibility ------------------------------------------------------------------------------------------------
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The parts at one edge of a token from its single byte up, each with the merge that ends it."""
-        known = self._spines[side].get(token)
-        if known is None:
-            known, part, ends = [], token, _NEVER
-            while True:
-                known.append((part, ends))
-                if part not in self.parts:
-                    break
-                halves = self.parts[part]
-                part, ends = halves[side], self.rank[halves]
-            known.reverse()
-            self._spines[side][token] = known
-        return known
-
-    def fits(self, left: int, right: int) -> bool:
-        """Whether BPE of both tokens' bytes gives just these two; remembered in ``_fits``."""
-        a, b = self._spine(left, 1), self._spine(right, 0)
-        i = j = 0
-        while True:
-            (x, x_ends), (y, y_ends) = a[i], b[j]
-            r = self.rank.get((x, y), _NEVER)
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether BPE of both tokens' bytes gives just these two, pair by pair."""
+        return self._fits.get(left.astype(np.int64) * self._wide + right, lambda at: self._compatible(left[at], right[at]))
+
+    def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        (a_first, a_part, a_ends), (b_first, b_part, b_ends) = self._spines
+        i, j, open_ = a_first[left], b_first[right], np.arange(len(left))
+        out = np.zeros(len(left), bool)
+        while len(open_):
+            x_ends, y_ends = a_ends[i], b_ends[j]
+            r = self._rank.get(a_part[i] * self._wide + b_part[j]).astype(np.int64)
+            r[r < 0] = _NEVER
             # Of equal merges the one further left comes first.
-            if r < x_ends and r <= y_ends:
-                answer = False
-                break
-            if x_ends == y_ends == _NEVER:
-                answer = True
-                break
-            if x_ends <= y_ends:
-                i += 1
-            else:
-                j += 1
-        if len(self._fits) >= 2 * self.memory:
-            self._fits.clear()
-        self._fits[left * self._wide + right] = answer
-        return answer
-
-    def _is_whole(self, token: int) -> bool:
-        """Whether BPE makes this token of its own bytes (a file may hold tokens that no merges reach)."""
-        known = self._whole.get(token)
-        if known is None:
-            halves = self.parts.get(token)
-            known = self._whole[token] = len(self.bytes_of[token]) == 1 if halves is None else all(map(self._is_whole, halves)) and self._joins(*halves)
-        return known
-
-    def _joins(self, left: int, right: int) -> bool:
-        """Whether the two halves stay whole until their own merge."""
-        a, b, own = self._spine(left, 1), self._spine(right, 0), self.rank[left, right]
-        i = j = 0
-        while i < len(a) - 1 or j < len(b) - 1:
-            (x, x_ends), (y, y_ends) = a[i], b[j]
-            r = self.rank.get((x, y), _NEVER)
-            if r < x_ends and r <= y_ends:
-                return False
-            i, j = (i + 1, j) if x_ends <= y_ends else (i, j + 1)
-        return own < _NEVER
+            joined, apart = (r < x_ends) & (r <= y_ends), (x_ends == _NEVER) & (y_ends == _NEVER)
+            out[open_[~joined & apart]] = True
+            on = ~(joined | apart)
+            up = x_ends <= y_ends
+            i, j, open_ = (i + up)[on], (j + ~up)[on], open_[on]
+        return out
 
     # -- encoding -----------------------------------------------------------------------------------------------------
 
-    def _tokens_ending(self, state: int) -> list[tuple[int, int]]:
-        """(length, token) of the tokens that end where the automaton is in ``state``, longest first."""
-        known = self._ending.get(state)
-        if known is None:
-            own = sorted(((len(self.bytes_of[t]), t) for t in self.ends.get(state, ()) if self._is_whole(t)), reverse=True)
-            up = self.automaton.link[state]
-            known = self._ending[state] = own + (self._tokens_ending(up) if up > 0 else [])
-        return known
-
-    def encode_piece(self, data: bytes) -> list[int]:
-        """Ids of one piece by the program over its prefixes."""
-        last: list[int] = [-1] * (len(data) + 1)
-        size = [0] * (len(data) + 1)
-        state = matched = 0
-        automaton = self.automaton
-        follow, link, length = automaton.next.get, automaton.link, automaton.length
-        ending, known_fit, wide = self._ending, self._fits.get, self._wide
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of pieces by the program over their prefixes: one place of all pieces after another."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-size, kind="stable")
+        flat, start = np.frombuffer(b"".join(pieces), np.uint8), (np.cumsum(size) - size)[order]
+        size = size[order]
+        # A piece has a place for each of its prefixes, the empty one too.
+        base = np.cumsum(size + 1) - size - 1
+        last = np.zeros(len(flat) + len(pieces), np.int32)
+        link, length = self._arrays["link"], self._arrays["length"]
+        state, matched = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        going = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
+        for p, n in enumerate(going):
+            symbol, now = flat[start[:n] + p].astype(np.int64), state[:n]
+            to = self._follow.get(now << 8 | symbol)
+            stuck = np.flatnonzero(to < 0)
+            while len(stuck):
+                now[stuck] = link[now[stuck]]
+                matched[stuck] = length[now[stuck]]
+                to[stuck] = self._follow.get(now[stuck] << 8 | symbol[stuck])
+                stuck = stuck[to[stuck] < 0]
+            state[:n] = to
+            matched[:n] += 1
+            token, open_ = self._longest[to], np.arange(n)
+            while len(open_):
+                t = token[open_]
+                long = self._size[t]
+                good = long <= matched[open_]
+                after = np.flatnonzero(good & (long <= p))
+                good[after] = self.fits(last[base[open_[after]] + p + 1 - long[after]], t[after])
+                last[base[open_[good]] + p + 1] = t[good]
+                open_ = open_[~good]
+                token[open_] = self._shorter[token[open_]]
+        # Back along the stored tokens.
+        found, at, open_ = [], size.copy(), np.flatnonzero(size)
+        while len(open_):
+            t = last[base[open_] + at[open_]]
+            found.append((open_, t))
+            at[open_] -= self._size[t]
+            open_ = open_[at[open_] > 0]
+        times = np.zeros(len(pieces), np.int64)
+        for who, _ in found:
+            times[who] += 1
+        stops = np.cumsum(times)
+        ids, at = np.zeros(int(times.sum()), np.int32), stops.copy()
+        for who, t in found:
+            at[who] -= 1
+            ids[at[who]] = t
+        listed, out = ids.tolist(), [[]] * len(pieces)
+        for k, a, b in zip(order.tolist(), (stops - times).tolist(), stops.tolist(), strict=True):
+            out[k] = listed[a:b]
+        return out
+
+    def encode_endless(self, data: bytes) -> list[int]:
+        """The same for one piece that has hardly any others as long beside it."""
+        if self._endless is None:
+            self._endless = SuffixAutomaton.unpacked(self._arrays)
+        automaton, known = self._endless, {}
+        last, state, matched = np.zeros(len(data) + 1, np.int32), 0, 0
         for end, symbol in enumerate(data, 1):
-            # The same as automaton.step, without a call for each byte.
-            to = follow(state << 8 | symbol)
-            while to is None:
-                state = link[state]
-                matched = length[state]
-                to = follow(state << 8 | symbol)
-            state = to
-            matched += 1
-            for n, token in ending.get(state) or self._tokens_ending(state):
-                if n > matched:
-                    continue
-                if n < end:
-                    fit = known_fit(last[end - n] * wide + token)
-                    if not (self.fits(last[end - n], token) if fit is None else fit):
-                        continue
-                last[end], size[end] = token, n
-                break
+            state, matched = automaton.step(state, matched, symbol)
+            token = int(self._longest[state])
+            while True:
+                n = int(self._size[token])
+                if n <= matched:
+                    if n == end:
+                        break
+                    pair = int(last[end - n]), token
+                    if pair not in known:
+                        known[pair] = bool(self.fits(np.array(pair[:1]), np.array(pair[1:]))[0])
+                    if known[pair]:
+                        break
+                token = int(self._shorter[token])
+            last[end] = token
         ids, at = [], len(data)
         while at:
-            ids.append(last[at])
-            at -= size[at]
-        ids.reverse()
-        return ids
-
-    def _piece(self, piece: str) -> tuple[bytes, bytes]:
-        """The ids of a piece as text, each with a comma behind, and what they decode to."""
-        known = self._pieces.get(piece)
-        if known is None:
-            ids = self.encode_piece(piece.encode())
-            known = b"".join(b"%d," % i for i in ids), b"".join(map(self.bytes_of.__getitem__, ids))
-            if len(piece) <= MEMORY_CHARS:
-                if len(self._pieces) >= self.memory:
-                    self._pieces.clear()
-                self._pieces[piece] = known
-        return known
+            ids.append(int(last[at]))
+            at -= int(self._size[last[at]])
+        return ids[::-1]
+
+    def _learn_pieces(self, wanted: dict[str, None]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids as text and bytes of those pieces of ``wanted`` that are not remembered, encoded together."""
+        new = [p for p in wanted if p not in self._pieces]
+        data = [p.encode() for p in new]
+        short = [k for k, d in enumerate(data) if len(d) <= STEP_BYTES]
+        encoded: dict[int, list[int]] = dict(zip(short, self.encode_pieces([data[k] for k in short]), strict=True))
+        listed, bytes_of, out = self._listed.__getitem__, self.bytes_of.__getitem__, {}
+        for k, p in enumerate(new):
+            ids = encoded[k] if k in encoded else self.encode_endless(data[k])
+            out[p] = b"".join(map(listed, ids)), b"".join(map(bytes_of, ids))
+        return out
 
     def pieces(self, text: str) -> list[str]:
         split = self._split_plain if self._plain.fullmatch(text) else self._split
         return split.findall(text)
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes] | None:
-        """``chunk`` after a space, or None if white space at its edges makes the splits depend on what is around."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            known = None
-        else:
-            found = [self._piece(p) for p in self.pieces(" " + chunk)]
-            known = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
-        if len(chunk) <= MEMORY_CHARS:
-            if len(self._chunks) >= self.memory:
-                self._chunks.clear()
-            self._chunks[chunk] = known
-        return known
-
-    def _run(self, text: str) -> list[tuple[bytes, bytes]]:
-        """Text without added tokens. Between single spaces, what stands before a space doesn't matter."""
+    def _cut(self, text: str, fresh: dict[str, list[str]]) -> tuple[list[str], list[str]]:
+        """Pieces and then chunks (each after a space) of text without added tokens; new chunks go to ``fresh``.
+
+        Between single spaces, what stands before a space doesn't matter; with white space at the edge of a
+        chunk the splits depend on what is around, and there are only pieces.
+        """
         first, *rest = text.split(" ")
-        chunks, out = self._chunks, []
-        if first and not first[-1].isspace():
-            out = [self._piece(p) for p in self.pieces(first)]
-            for c in rest:
-                found = chunks.get(c) or self._chunk(c)
-                if found is None:
-                    break
-                out.append(found)
-            else:
-                return out
-        return [self._piece(p) for p in self.pieces(text)]
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """The ids of a whole text, comma behind each, and the bytes that they decode to."""
-        runs = self._added.split(text) if self._added and self._added.search(text) else [text]
-        out: list[tuple[bytes, bytes]] = []
-        for i, run in enumerate(runs):
-            if i % 2:
-                token = self.added[run]
-                out.append((b"%d," % token, self.bytes_of[token]))
-            elif run:
-                out += self._run(run)
-        return b"".join([f[0] for f in out]), b"".join([f[1] for f in out])
+        if rest and first and not first[-1].isspace():
+            known = self._chunk_ids
+            new = [c for c in set(rest) if c not in known and c not in fresh]
+            if "" not in new and not any([c[0].isspace() or c[-1].isspace() for c in new]):
+                for c in new:
+                    fresh[c] = [" " + c] if c.isascii() and c.isalpha() else self.pieces(" " + c)
+                return self.pieces(first), rest
+        return self.pieces(text), []
+
+    def encode_texts(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of whole texts, comma behind each, and the bytes that they decode to."""
+        # Letters count too, by the length of a usual piece.
+        if max(len(self._chunk_ids) + len(self._pieces), self._letters // 16) > self.memory:
+            self._pieces, self._chunk_ids, self._chunk_bytes, self._letters = {}, {}, {}, 0
+        fresh: dict[str, list[str]] = {}
+        cut: list[list[tuple[list[str], list[str]] | int]] = []
+        for text in texts:
+            runs = self._added.split(text) if self._added and self._added.search(text) else [text]
+            cut.append([self.added[r] if i % 2 else self._cut(r, fresh) for i, r in enumerate(runs) if r])
+        several = [found for found in fresh.values() if len(found) != 1] + [x[0] for parts in cut for x in parts if not isinstance(x, int)]
+        wanted: dict[str, None] = {found[0]: None for found in fresh.values() if len(found) == 1}
+        for found in several:
+            for p in found:
+                wanted[p] = None
+        learnt = self._learn_pieces(wanted)
+        for c, found in fresh.items():
+            if len(found) == 1:
+                # Remembered as the chunk that it is.
+                self._chunk_ids[c], self._chunk_bytes[c] = learnt.get(found[0]) or self._pieces[found[0]]
+        for found in several:
+            for p in found:
+                if p in learnt:
+                    self._pieces[p] = learnt[p]
+                    self._letters += len(p)
+        known = self._pieces
+        for c, found in fresh.items():
+            if len(found) != 1:
+                self._chunk_ids[c] = b"".join([known[p][0] for p in found])
+                self._chunk_bytes[c] = b"".join([known[p][1] for p in found])
+            self._letters += len(c)
+        ids_of, bytes_of, out = self._chunk_ids.__getitem__, self._chunk_bytes.__getitem__, []
+        for parts in cut:
+            ids, data = [], []
+            for x in parts:
+                if isinstance(x, int):
+                    ids.append(self._listed[x])
+                    data.append(self.bytes_of[x])
+                else:
+                    ids += [known[p][0] for p in x[0]]
+                    data += [known[p][1] for p in x[0]]
+                    ids += map(ids_of, x[1])
+                    data += map(bytes_of, x[1])
+            out.append((b"".join(ids), b"".join(data)))
+        return out
 
     def ids(self, text: str) -> list[int]:
-        return [int(x) for x in self.encode(text)[0].split(b",")[:-1]]
+        return [int(x) for x in self.encode_texts([text])[0][0].split(b",")[:-1]]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -274,44 +353,44 @@ def encode_documents(df: DataFrame, text: str = "text", path: str | None = None,
     """Encode every text and decode the ids again.
 
     Adds n_tokens, ids_sha256, decoded_sha256 and, as asked, ``ids`` (array) and ``decoded`` to the columns
-    of ``df``, which must not have these names (``pipeline`` and ``op3`` select what they need first). Null
-    texts count as empty: no tokens, the digests of the empty string. Texts are encoded on their own, so
-    repeated rows, ties and any length are alike; a text of one endless word needs memory in proportion.
-    The vocabulary has a fixed size and is broadcast. A worker remembers ``memory`` pieces; with fewer it is
-    slower and smaller.
+    of ``df``; a name that is taken gets an underscore behind it. Null texts count as empty: no tokens, the
+    digests of the empty string. Texts are encoded on their own, so repeated rows, ties and any length are
+    alike; a text of one endless word needs memory in proportion. The vocabulary has a fixed size and is
+    broadcast. A worker remembers about ``memory`` pieces; with fewer it is slower and smaller.
     """
     spark = df.sparkSession
     small_arrow_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary(path or default_vocabulary()))
+    kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_text else {})
+    names = unused_names(df, *kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = shared.value.codec(memory)
         for pdf in batches:
             rows = []
-            for t in pdf[text]:
-                ids, data = codec.encode(t if isinstance(t, str) else "")
+            for ids, data in codec.encode_texts([t if isinstance(t, str) else "" for t in pdf[text]]):
                 try:
                     data.decode()
                 except UnicodeDecodeError:
                     data = data.decode("utf-8", "replace").encode()
                 listed = ids[:-1]
-                rows.append((
-                    ids.count(b","), hashlib.sha256(listed).hexdigest(), hashlib.sha256(data).hexdigest(),
-                    np.array(listed.split(b",") if listed else [], dtype=np.int32) if with_ids else None, data.decode() if with_text else None,
-                ))
+                row = [ids.count(b","), hashlib.sha256(listed).hexdigest(), hashlib.sha256(data).hexdigest()]
+                if with_ids:
+                    row.append(np.array(listed.split(b",") if listed else [], dtype=np.int32))
+                if with_text:
+                    row.append(data.decode())
+                rows.append(row)
             out = pdf.copy(deep=False)
-            for k, name in enumerate(("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")):
-                if k < 3 or (with_ids if k == 3 else with_text):
-                    out[name] = [r[k] for r in rows]
+            for k, name in enumerate(names):
+                out[name] = [r[k] for r in rows]
             yield out
 
-    schema = df.schema.simpleString()[len("struct<") : -1]
-    types = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields] if schema else []
-    types += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * with_ids + ["decoded string"] * with_text
-    return df.mapInPandas(run, ", ".join(types))
+    wide = df.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in zip(names, kinds.values(), strict=True)))
+    return df.mapInPandas(run, wide.schema)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every row of ``documents``; null texts count as empty, repeated rows stay."""
     found = encode_documents(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 

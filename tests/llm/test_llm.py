@@ -152,6 +152,35 @@ def test_bpe(spark, docs, empty):
     assert bpe.encode_documents(empty.select("doc_id", "text")).count() == 0
 
 
+def test_bpe_query_equals_the_library_on_whole_tables(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    t.no_truncation()
+    t.no_padding()
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    want = {}
+    for i, e in zip(texts, t.encode_batch(list(texts.values()), add_special_tokens=False), strict=True):
+        want[i] = (len(e.ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, e.ids)), t.decode(e.ids, skip_special_tokens=False))))
+    assert {r.doc_id: tuple(r)[1:] for r in bpe.op3_bpe(spark, folder).collect()} == want
+
+
+def test_bpe_of_random_texts_equals_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(bpe.default_vocabulary()), random.Random(1)
+    texts = ["".join(r.choice("ab c\n\t's1_.é日😀\u0301\u3000") for _ in range(r.randrange(200))) for _ in range(2000)]
+    texts += ["ab" * 700 + "c" * 700, "日本語テキスト" * 300, "x<|endoftext|>y  <|endoftext|>", "a  b", " lead", "trail ", "\u0661\u0662 ²³ ª"]
+    codec = bpe.Vocabulary(bpe.default_vocabulary()).codec(1000)
+    for k in range(0, len(texts), 100):
+        for x, (ids, data) in zip(texts[k : k + 100], codec.encode_texts(texts[k : k + 100]), strict=True):
+            e = t.encode(x, add_special_tokens=False).ids
+            assert ids == b"".join(b"%d," % i for i in e) and data.decode("utf-8", "replace") == t.decode(e, skip_special_tokens=False) == codec.decode(e)
+
+
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     html = "<p>" + "ünïcode " * 30 + "</p>"
     rows = [(2, "u", html), (1, "u\r\nx", html), (3, None, None), (4, "v", ""), (None, "w", html), (5, "s", "short"), (6, "s", "short"), (7, "a", "WARC/1.1\r\n\r\n" * 20), (1, "u", html)]
