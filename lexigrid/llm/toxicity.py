@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import documents, small_arrow_batches, unused_names
 from .words import ALNUM, split_words
 
-#: Labelled rows that the model is fitted on, at most (chosen by hash); all rows count where there are fewer.
+#: Labelled rows that the label model and the classifier are fitted on, at most (chosen by hash).
 FIT_ROWS = 16_000
 #: Voters at most: the strongest by G2, which is at least LEAST_G2.
 MOST_VOTERS, LEAST_G2, LEAST_ODDS = 1024, 24.0, 25.0
@@ -27,6 +27,8 @@ MOST_VOTERS, LEAST_G2, LEAST_ODDS = 1024, 24.0, 25.0
 PREFIX_BYTES = (4, 5, 6, 7)
 #: Correlation, within texts of one kind, above which voters share one vote.
 CORRELATED = 0.4
+#: Least numbers of voters that fire in a text, of the label model's bins.
+FIRED = (1, 2, 3, 4, 6, 9)
 THRESHOLD = 0.3
 
 
@@ -94,15 +96,28 @@ def _low(f: np.ndarray) -> np.ndarray:
     return ((f ^ (f >> np.uint64(23)) ^ (f >> np.uint64(41))) & np.uint64(0xFFFF)).astype(np.int64)
 
 
-def g2(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
+def g2_column(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     """How surely a feature goes with toxic texts: the log-likelihood ratio of its counts, 0 if it goes with the others."""
-    share = (pos + neg) / (n_pos + n_neg)
+    share = (pos + neg) / F.lit(float(n_pos + n_neg))
 
-    def part(x: np.ndarray, n: float) -> np.ndarray:
-        p = x / n
-        return x * np.log(np.maximum(p, 1e-12) / share) + (n - x) * np.log(np.maximum(1 - p, 1e-12) / np.maximum(1 - share, 1e-12))
+    def part(x: Column, n: int) -> Column:
+        p = x / F.lit(float(n))
+        return x * F.log(F.greatest(p, F.lit(1e-12)) / share) + (n - x) * F.log(F.greatest(1 - p, F.lit(1e-12)) / F.greatest(1 - share, F.lit(1e-12)))
 
-    return np.where(pos * n_neg > neg * n_pos, 2 * (part(pos, n_pos) + part(neg, n_neg)), 0.0)
+    return F.when(pos * n_neg > neg * n_pos, 2 * (part(pos, n_pos) + part(neg, n_neg))).otherwise(0.0)
+
+
+@dataclass
+class Labelling:
+    """What the label model found: posterior labels, rates of firing in toxic and other texts, each voter's
+    group, and how often the given labels say toxic in toxic and in other texts."""
+
+    posterior: np.ndarray
+    fires_toxic: np.ndarray
+    fires_other: np.ndarray
+    group: np.ndarray
+    told_toxic: float
+    told_other: float
 
 
 @dataclass
@@ -112,9 +127,7 @@ class Model:
     voters: np.ndarray
     weights: np.ndarray
     bias: float
-    fires_toxic: np.ndarray
-    fires_other: np.ndarray
-    group: np.ndarray
+    labelling: Labelling | None
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         t, v = votes(texts, self.voters)
@@ -122,33 +135,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def label_model(matrix: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior labels, rates of firing in toxic and other texts, and the group of each voter, by EM.
+def label_model(matrix: np.ndarray, labels: np.ndarray, rounds: int = 50) -> Labelling:
+    """A generative model of votes, by EM: each text is toxic or not, each voter fires at a rate of its own in either kind.
 
-    ``labels`` (0 or 1) are one more voter, which is right nearly always; voters that agree more than
-    their accuracy explains are a group and count as one vote.
+    In either kind of text so many voters fire with some probability (by bins of FIRED), and which ones with
+    the voters' own rates; that all are silent is the first bin. The given ``labels`` (0 or 1) set the first
+    rates and are one more voter, whose accuracy is estimated from how it agrees with what all other votes
+    say, without bounds: labels that the votes contradict are put right. Voters that agree more than their
+    accuracy explains are a group and count as one vote.
     """
     n, m = matrix.shape
-    q = np.clip(labels.astype(float), 0.01, 0.99)
+    q = labels.astype(float)
     group, weight = np.arange(m), np.ones(m)
+    fired = np.searchsorted(FIRED, matrix.sum(1), "right")
     a = b = np.full(m, 0.1)
-    right = 0.9999
+    told = (0.9, 0.1)
     for step in range(rounds):
-        prior = (q.sum() + 1) / (n + 2)
-        a = (q.astype(np.float32) @ matrix + 0.5) / (q.sum() + 1)
-        b = ((1 - q).astype(np.float32) @ matrix + 1) / ((1 - q).sum() + 2)
-        right = np.clip((np.where(labels == 1, q, 1 - q).sum() + 200) / (n + 200.02), 0.99, 0.9999)
+        toxic, other = q.sum(), n - q.sum()
+        odds = np.log((toxic + 1) / (other + 1))
+        a = (q.astype(np.float32) @ matrix + 0.5) / (toxic + 1)
+        b = ((1 - q).astype(np.float32) @ matrix + 0.5) / (other + 1)
         if step == 3 and m > 1:
             group = _correlated(matrix, q)
             weight = 1 / np.bincount(group, minlength=m)[group]
-        # A voter that doesn't fire abstains, which says nothing: most know words of one language only.
-        # Votes that agree by the text's length more than by its kind must not outweigh a given label.
-        z = np.log(prior / (1 - prior)) + np.minimum(matrix @ (weight * np.log(a / b)).astype(np.float32), 6.0) + np.where(labels == 1, 1, -1) * np.log(right / (1 - right))
+        how_many = [np.bincount(fired, w, len(FIRED) + 1) + 0.5 for w in (q, 1 - q)]
+        how_many = np.log(how_many[0] / how_many[0].sum()) - np.log(how_many[1] / how_many[1].sum())
+        which = np.log(a / a.sum()) - np.log(b / b.sum())
+        # Log odds less their error, which is large where a voter fired seldom.
+        which = np.sign(which) * np.maximum(0, np.abs(which) - np.sqrt(1 / (a * (toxic + 1)) + 1 / (b * (other + 1))))
+        votes_say = odds + how_many[fired] + matrix @ (weight * which).astype(np.float32)
+        by_votes = 1 / (1 + np.exp(-np.clip(votes_say, -30, 30)))
+        # Against the other votes only: judged by posteriors that it decides itself, a label is always right.
+        told = tuple(float((w @ labels + 10 * prior) / (w.sum() + 10)) for w, prior in ((by_votes, 0.95), (1 - by_votes, 0.05)))
+        z = votes_say + np.where(labels == 1, np.log(told[0] / told[1]), np.log((1 - told[0]) / (1 - told[1])))
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if np.abs(new - q).max(initial=0) < 1e-6:
-            break
+        settled = step > 3 and np.abs(new - q).max(initial=0) < 1e-4
         q = new
-    return q, a, b, group
+        if settled:
+            break
+    return Labelling(q, a, b, group, *told)
 
 
 def _correlated(matrix: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -196,46 +221,41 @@ def training_rows(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """Fit on the labelled training rows, ``rows`` of them at most.
+    """Fit on the labelled training rows: voters are chosen over all of them, the label model and the
+    classifier take ``rows`` of them at most, by hash.
 
     Rows without a label or id teach nothing; several labels of one id count as its largest. Without any
     toxic label there are no voters, and every text gets the share of toxic labels as its score.
     """
     small_arrow_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & training_rows(F.col(doc_id)))
-    chosen = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    total = known.count()
-    if total > rows:
-        chosen = chosen.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rows / total * (1 << 20)))
-    # At most FIT_ROWS pairs of numbers, give or take chance.
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(F.broadcast(chosen), "id")
+    known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    labelled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(known, "id")
+    n_pos, n_all = labelled.agg(F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0)), F.count("*")).first()
+    n_neg = n_all - n_pos
+    bias = float(np.log((n_pos + 1) / (n_neg + 1))) if n_all else -5.0
+    none = np.empty(0)
+    nothing = Model(np.empty(0, np.uint64), none, bias, None)
+    if not n_pos or not n_neg:
+        return nothing
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            y = pdf["y"].to_numpy()
             t, f, _ = features(list(pdf["body"]))
             names, at = np.unique(f, return_inverse=True)
-            toxic = np.bincount(at, y[t] == 1, minlength=len(names)).astype(np.int64)
+            toxic = np.bincount(at, pdf["y"].to_numpy()[t] == 1, minlength=len(names)).astype(np.int64)
             yield pd.DataFrame({"f": names.view(np.int64), "pos": toxic, "neg": np.bincount(at, minlength=len(names)) - toxic})
-            yield pd.DataFrame({"f": [0], "pos": [int((y == 1).sum())], "neg": [int((y != 1).sum())]})
-
-    counts = sample.mapInPandas(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # A feature of fewer toxic texts cannot reach LEAST_G2; the row 0 has the totals.
-    found = counts.filter("f = 0 or pos >= 4").toPandas()
-    sums = found[found["f"] == 0]
-    n_pos, n_neg = (int(sums[c].sum()) for c in ("pos", "neg"))
-    found = found[found["f"] != 0]
-    bias = float(np.log((n_pos + 1) / (n_neg + 1))) if n_pos + n_neg else -5.0
-    none = np.empty(0)
-    if not n_pos or not n_neg or found.empty:
-        return Model(np.empty(0, np.uint64), none, bias, none, none, none)
-    pos, neg = found["pos"].to_numpy(float), found["neg"].to_numpy(float)
-    strength, odds = g2(pos, neg, n_pos, n_neg), (pos + 0.5) / n_pos / ((neg + 0.5) / n_neg)
-    good = np.flatnonzero((strength >= LEAST_G2) & (odds >= LEAST_ODDS))
-    keep = good[np.lexsort((found["f"].to_numpy()[good], -strength[good]))][:MOST_VOTERS]
-    voters = np.sort(found["f"].to_numpy()[keep].view(np.uint64))
+
+    # Over all labelled rows, with no least count; what is collected has MOST_VOTERS rows at most.
+    counts = labelled.mapInPandas(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    strength = g2_column(F.col("pos"), F.col("neg"), n_pos, n_neg)
+    odds = (F.col("pos") + 0.5) / F.lit(n_pos) / ((F.col("neg") + 0.5) / F.lit(n_neg))
+    best = counts.filter((strength >= LEAST_G2) & (odds >= LEAST_ODDS)).select("f", strength.alias("g2")).orderBy(F.desc("g2"), "f").limit(MOST_VOTERS).toPandas()
+    voters = np.sort(best["f"].to_numpy(np.int64).view(np.uint64))
     if not len(voters):
-        return Model(voters, none, bias, none, none, none)
+        return nothing
+    share = min(1.0, rows / n_all)
+    sample = labelled if share >= 1 else labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def fired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -247,9 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     matrix = np.zeros((len(seen), len(voters)), np.float32)
     for k, v in enumerate(seen["v"]):
         matrix[k, v] = 1
-    posterior, a, b, group = label_model(matrix, seen["y"].to_numpy())
-    weights, bias = linear_classifier(matrix, posterior)
-    return Model(voters, weights, bias, a, b, group)
+    labelling = label_model(matrix, seen["y"].to_numpy())
+    weights, bias = linear_classifier(matrix, labelling.posterior)
+    return Model(voters, weights, bias, labelling)
 
 
 def score_documents(df: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:

@@ -313,6 +313,40 @@ def test_toxicity(spark, docs, empty):
     assert 0 <= nothing.score(["a", None])[1] < toxicity.THRESHOLD
 
 
+def _planted_votes(flip, n=4000, m=30, seed=3):
+    """Votes of ``m`` voters (the last five repeat the first) over texts of known kind, and labels of which a share is wrong."""
+    rng = np.random.default_rng(seed)
+    toxic = rng.random(n) < 0.12
+    votes = rng.random((n, m)) < np.where(toxic[:, None], rng.uniform(0.1, 0.4, m), rng.uniform(0.001, 0.01, m))
+    votes[:, -5:] = votes[:, :1]
+    wrong = rng.random(n) < flip
+    return votes.astype(np.float32), toxic, (toxic ^ wrong).astype(int)
+
+
+def test_label_model_puts_wrong_labels_right_and_finds_groups():
+    votes, toxic, labels = _planted_votes(0.1)
+    found = toxicity.label_model(votes, labels)
+    right = ((found.posterior >= 0.5) == toxic).mean()
+    assert (labels == toxic).mean() < 0.91 and right > 0.985
+    assert 0.85 < found.told_toxic < 0.95 and 0.05 < found.told_other < 0.15
+    assert len(set(found.group[-5:]) | {found.group[0]}) == 1 and len(set(found.group)) > 20
+    alike = np.corrcoef(found.fires_toxic, votes[toxic].mean(0))[0, 1]
+    assert alike > 0.99
+    clean = toxicity.label_model(votes, toxic.astype(int))
+    assert ((clean.posterior >= 0.5) == toxic).mean() > 0.995
+
+
+def test_linear_classifier_against_newtons_steps():
+    votes, toxic, _ = _planted_votes(0.0, n=600, m=6)
+    w, bias = toxicity.linear_classifier(votes, toxic.astype(float), rounds=4000)
+    x, t = np.hstack([votes, np.ones((600, 1))]), toxic.astype(float)
+    v, ridge = np.zeros(7), np.diag([0.3] * 6 + [0.0])
+    for _ in range(50):  # Newton's steps on the same loss
+        p = 1 / (1 + np.exp(-(x @ v)))
+        v -= np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge, x.T @ (p - t) + ridge @ v)
+    assert np.allclose([*w, bias], v, atol=0.05)
+
+
 def test_pipeline_stages_keep_columns_and_meet_awkward_rows(spark, docs, empty):
     import corpus_pipeline
 
