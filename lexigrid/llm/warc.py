@@ -2,7 +2,8 @@
 
 The reader checks every record (member checksum, version line, lengths, payload digest). After a
 failed check it looks for the next byte at which a valid member or version line begins, goes on there,
-and logs the bytes between as a quarantined gap.
+and logs the bytes between as a quarantined gap. The same goes on inside members of many records, whole
+ones and what can be unpacked of damaged ones.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from urllib.parse import unquote, urlparse
+from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,31 +27,36 @@ VERSION = b"WARC/1.1\r\n"
 LEAST_SHARED_BYTES = 100
 #: Raw bytes after which the writer begins another file.
 FILE_BYTES = 8 << 20
-MAGIC = b"\x1f\x8b\x08"
-_PIECE = 16 << 10
+#: Bytes that the headers of one record may have.
+HEADER_BYTES = 64 << 10
+_PIECE, _FIRST_PIECE = 16 << 10, 1 << 10
+_SAFE = "".join(map(chr, range(0x21, 0x7F))).replace("%", "")
 _EPOCH = "1970-01-01T00:00:00Z"
-_VERSION_LINE = re.compile(rb"WARC/\d\.\d\r?\n")
+_VERSION_LINE, _ZERO, _BLANK_LINE = re.compile(rb"WARC/\d\.\d\r?\n"), re.compile(rb"\0"), re.compile(rb"\r\n\r\n")
+#: Magic, method and flags (the upper three are reserved) of a gzip member.
+_MEMBER_START = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
 
-FOUND = "path string, at long, page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary, gap_start long, gap_end long, reason string"
+FOUND = "path string, at long, inner long, page_id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary, gap_start long, gap_end long, reason string"
 
 
 @dataclass
 class Record:
-    """A record that passed all checks; ``at`` and ``end`` are its bytes in the file."""
+    """A record that passed all checks; ``at`` is where its member or itself begins in the file, ``inner`` where it begins in the member's content."""
 
     at: int
-    end: int
     headers: dict[str, str]
     payload: bytes
+    inner: int = 0
 
 
 @dataclass
 class Gap:
-    """Bytes that belong to no valid record."""
+    """Bytes that belong to no valid record: of the file or, with ``member``, of the content of the member that begins there."""
 
     start: int
     end: int
     reason: str
+    member: int | None = None
 
 
 @dataclass
@@ -63,6 +69,22 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
+class _Next:
+    """The next place of a pattern, for questions that mostly move forward: the bytes between are searched once."""
+
+    def __init__(self, data: bytes, pattern: re.Pattern[bytes]):
+        self._data, self._search = data, pattern.search
+        self._asked, self._found = 0, -1
+
+    def at(self, place: int) -> int:
+        if place >= len(self._data):
+            return len(self._data)
+        if not self._asked <= place <= self._found:
+            hit = self._search(self._data, place)
+            self._asked, self._found = place, hit.start() if hit else len(self._data)
+        return self._found
+
+
 def encode_record(headers: dict[str, str], block: bytes) -> bytes:
     """The plain bytes of one record."""
     lines = "".join(f"{k}: {v}\r\n" for k, v in (headers | {"Content-Length": str(len(block))}).items())
@@ -74,13 +96,13 @@ def member(record: bytes, level: int = 3) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+def parse_record(data: bytes, at: int = 0, blank: _Next | None = None) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the plain record at ``at``; Damaged if a check fails."""
     line = _VERSION_LINE.match(data, at)
     if not line:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", line.end() - 2)
-    if end < 0:
+    end = (blank or _Next(data, _BLANK_LINE)).at(line.end() - 2)
+    if end > min(line.end() + HEADER_BYTES, len(data) - 4):
         raise Damaged("headers do not end")
     headers: dict[str, str] = {}
     for raw in data[line.end() : end].split(b"\r\n"):
@@ -101,62 +123,101 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, stop + 4
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends."""
-    unpacker, parts, fed = zlib.decompressobj(31), [], at
-    try:
+class _Reader:
+    """One archive, or the content of a member of it."""
+
+    def __init__(self, data: bytes, member: int | None = None, sure: bool = False):
+        self.data, self.member, self.sure = data, member, sure
+        self.lines, self.members, self.zeros, self.blank = (_Next(data, p) for p in (_VERSION_LINE, _MEMBER_START, _ZERO, _BLANK_LINE))
+
+    def _next_start(self, at: int) -> int:
+        """Where the next member or version line may begin, or the end."""
+        line = self.lines.at(at)
+        return line if self.member is not None else min(line, self.members.at(at))
+
+    def _has_member_header(self, at: int) -> bool:
+        """Whether a gzip header stands there whose names end somewhere, with a first block of a kind that exists behind it."""
+        data, flags, place = self.data, self.data[at + 3], at + 10
+        if flags & 4:
+            place += 2 + int.from_bytes(data[place : place + 2], "little")
+        for bit in (8, 16):
+            if flags & bit:
+                place = self.zeros.at(place) + 1
+        place += flags & 2
+        if place >= len(data):
+            return False
+        kind = data[place] >> 1 & 3
+        stored = int.from_bytes(data[place + 1 : place + 3], "little") ^ int.from_bytes(data[place + 3 : place + 5], "little")
+        return kind in (1, 2) or (kind == 0 and stored == 0xFFFF)
+
+    def _unpack(self, at: int) -> tuple[bytes, int, str]:
+        """What can be unpacked of the member at ``at``, where it ends, and what is wrong with it ('' if nothing)."""
+        unpacker, parts, fed = zlib.decompressobj(31), [], at
         # In pieces: what is handed over beyond the member's end is copied.
-        while not unpacker.eof and fed < len(data):
-            parts.append(unpacker.decompress(data[fed : fed + _PIECE]))
-            fed += _PIECE
-    except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
-    if not unpacker.eof:
-        raise Damaged("member is cut off")
-    return b"".join(parts), min(fed, len(data)) - len(unpacker.unused_data)
-
-
-def _read_at(data: bytes, at: int) -> Iterator[Record]:
-    """The record or records that begin with the member or version line at ``at``."""
-    if data.startswith(MAGIC, at):
-        content, end = _member_at(data, at)
-        inner, records = 0, []
-        while inner < len(content) or not records:
-            headers, block, inner = parse_record(content, inner)
-            records.append(Record(at, end, headers, block))
-        yield from records
-    else:
-        headers, block, end = parse_record(data, at)
-        yield Record(at, end, headers, block)
-
-
-def _next_start(data: bytes, at: int) -> int:
-    """Where the next member or version line may begin, or the end."""
-    magic = data.find(MAGIC, at)
-    line = _VERSION_LINE.search(data, at)
-    found = [x for x in (magic, line.start() if line else -1) if x >= 0]
-    return min(found, default=len(data))
+        while not unpacker.eof and fed < len(self.data):
+            size = _PIECE if fed > at else _FIRST_PIECE
+            before = unpacker.copy() if fed > at else None
+            try:
+                parts.append(unpacker.decompress(self.data[fed : fed + size]))
+            except zlib.error as e:
+                before = before or zlib.decompressobj(31)
+                try:  # what comes before the fault in this piece
+                    for k in range(fed, min(fed + size, len(self.data))):
+                        parts.append(before.decompress(self.data[k : k + 1]))
+                except zlib.error:
+                    pass
+                return b"".join(parts), fed, f"member: {e}"
+            fed += size
+        return b"".join(parts), min(fed, len(self.data)) - len(unpacker.unused_data), "" if unpacker.eof else "member is cut off"
+
+    def _read_at(self, at: int, out: Salvage) -> int:
+        """Add what begins at ``at`` and return where it ends."""
+        if self.member is not None or not _MEMBER_START.match(self.data, at):
+            headers, block, end = parse_record(self.data, at, self.blank)
+            if self.sure and "warc-block-digest" not in headers:
+                raise Damaged("no digest in a damaged member")
+            out.records.append(Record(at if self.member is None else self.member, headers, block, 0 if self.member is None else at))
+            return end
+        if not self._has_member_header(at):
+            raise Damaged("no member header")
+        content, end, wrong = self._unpack(at)
+        # Of bytes that no checksum vouches for only records with a digest of their own count.
+        inside = _Reader(content, at, bool(wrong) and wrong != "member is cut off").salvage()
+        out.records += inside.records
+        if wrong:
+            raise Damaged(wrong)
+        if not inside.records:
+            out.gaps.append(Gap(at, end, "member without a valid record"))
+        else:
+            out.gaps += inside.gaps
+        return end
+
+    def salvage(self) -> Salvage:
+        out, at, bad, reason = Salvage(), 0, -1, ""
+        while at < len(self.data):
+            gaps = len(out.gaps)
+            try:
+                end = self._read_at(at, out)
+            except Damaged as e:
+                if bad < 0:
+                    bad, reason = at, str(e)
+                at = self._next_start(at + 1)
+                continue
+            if bad >= 0:
+                out.gaps.insert(gaps, Gap(bad, at, reason, self.member))
+                bad = -1
+            at = end
+        if bad >= 0:
+            out.gaps.append(Gap(bad, len(self.data), reason, self.member))
+        return out
 
 
 def salvage(data: bytes) -> Salvage:
-    """All valid records of one archive and the gaps between them. Empty input has neither."""
-    out, at, bad, reason = Salvage(), 0, -1, ""
-    while at < len(data):
-        try:
-            records = list(_read_at(data, at))
-        except Damaged as e:
-            if bad < 0:
-                bad, reason = at, str(e)
-            at = _next_start(data, at + 1)
-            continue
-        if bad >= 0:
-            out.gaps.append(Gap(bad, at, reason))
-            bad = -1
-        out.records += records
-        at = records[-1].end
-    if bad >= 0:
-        out.gaps.append(Gap(bad, len(data), reason))
-    return out
+    """All valid records of one archive and the gaps between them. Empty input has neither.
+
+    A damaged member is a gap of the file; records that can be got out of it are kept nevertheless.
+    """
+    return _Reader(data).salvage()
 
 
 # ---- writing ---------------------------------------------------------------------------------------------------------
@@ -184,10 +245,15 @@ def _put(folder: str, name: str, data: bytes) -> str:
     return f"{folder}/{name}"
 
 
+def _urn(page_id: str | None) -> str:
+    """A page's id as a header value, with what a header cannot hold (and %) as %XX."""
+    return f"<urn:page:{quote(str(page_id), safe=_SAFE)}>"
+
+
 def _page_record(page_id: str | None, url: str | None, digest: str, refers_to: str | None, revisit: bool, payload: bytes, size: int) -> bytes:
     headers = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:page:{page_id if page_id is not None else ''}>",
+        "WARC-Record-ID": "<urn:no-page>" if page_id is None else _urn(page_id),
         "WARC-Date": _EPOCH,
         "WARC-Target-URI": re.sub(r"[\r\n]+", " ", url or ""),
         "Content-Type": "text/html; charset=utf-8",
@@ -195,10 +261,10 @@ def _page_record(page_id: str | None, url: str | None, digest: str, refers_to: s
         "WARC-Payload-Length": str(size),
     }
     if revisit:
-        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>"}
-    else:
-        headers["WARC-Block-Digest"] = f"sha256:{digest}"
-    return encode_record(headers, b"" if revisit else payload)
+        headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _urn(refers_to)}
+    block = b"" if revisit else payload
+    headers["WARC-Block-Digest"] = f"sha256:{hashlib.sha256(block).hexdigest()}"
+    return encode_record(headers, block)
 
 
 def write_pages(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -253,14 +319,15 @@ def write_pages(pages: DataFrame, folder: str, page_id: str = "page_id", url: st
 
 def _page(urn: str | None) -> str | None:
     found = re.fullmatch(r"<urn:page:(.*)>", urn or "", re.S)
-    return found[1] or None if found else None
+    return unquote(found[1]) if found else None
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all archives below ``folder``.
 
     A row of a record has ``page_id`` (and the rest), a row of a gap has ``gap_start``, ``gap_end`` and
-    ``reason``. Archives larger than 2 GB are not read (no binary value is that large); the writer closes
+    ``reason``; ``at`` is the record's or its member's place in the file and ``inner`` the record's in the
+    member's content, where a gap that has ``at`` lies too. Archives larger than 2 GB are not read (no binary value is that large); the writer closes
     its files long before. Without ``payloads`` that column is null.
     """
     small_arrow_batches(spark, 1, "16m")
@@ -276,11 +343,11 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                     revisit = h.get("warc-type") == "revisit"
                     digest = h.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(r.payload).hexdigest()
                     size = int(h.get("warc-payload-length", 0)) if revisit else len(r.payload)
-                    rows.append((path, r.at, _page(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), size, digest,
+                    rows.append((path, r.at, r.inner, _page(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type"), size, digest,
                                  _page(h.get("warc-refers-to")), r.payload if payloads else None, None, None, None))
-                rows += [(path, None, None, None, None, None, None, None, None, g.start, g.end, g.reason) for g in found.gaps]
+                rows += [(path, g.member, None, None, None, None, None, None, None, None, g.start, g.end, g.reason) for g in found.gaps]
                 out = pd.DataFrame(rows, columns=names)
-                for c in ("at", "payload_bytes", "gap_start", "gap_end"):
+                for c in ("at", "inner", "payload_bytes", "gap_start", "gap_end"):
                     out[c] = out[c].astype("Int64")
                 yield out
 
@@ -288,6 +355,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written to archives and read back: a row per page. Null html is an empty payload, repeated rows of the
+    smallest page_id are responses each, and an empty table gives none."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = fresh_path(spark, "warc")
     kind = pages.schema["page_id"].dataType

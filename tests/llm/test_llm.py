@@ -184,6 +184,9 @@ def test_bpe_of_random_texts_equals_the_library():
 def test_warc_round_trip_and_salvage(spark, tmp_path):
     html = "<p>" + "ünïcode " * 30 + "</p>"
     rows = [(2, "u", html), (1, "u\r\nx", html), (3, None, None), (4, "v", ""), (None, "w", html), (5, "s", "short"), (6, "s", "short"), (7, "a", "WARC/1.1\r\n\r\n" * 20), (1, "u", html)]
+    odd = spark.createDataFrame([(" x\r\n%41 é", "u", "p"), ("", "u", "q")], "page_id string, url string, html string")
+    assert warc.write_pages(odd, f"file://{tmp_path}/odd").count()
+    assert {r.page_id for r in warc.read_archives(spark, f"file://{tmp_path}/odd").collect()} == {" x\r\n%41 é", ""}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     n = warc.write_pages(pages, f"file://{tmp_path}/w", file_bytes=500).agg(F.sum("n_records")).first()[0]
     assert n == len(rows)
@@ -205,6 +208,43 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
         assert s.gaps[0].start == 0 and s.gaps[0].end == 4 and s.gaps[-1].end == len(bad)
 
 
+def _warc_records(n, digest=True):
+    blocks = [b"body %d " % k * 50 for k in range(n)]
+    extra = lambda b: {"WARC-Block-Digest": f"sha256:{hashlib.sha256(b).hexdigest()}"} if digest else {}
+    return [warc.encode_record({"WARC-Type": "response", "WARC-Record-ID": f"<urn:page:{k}>"} | extra(b), b) for k, b in enumerate(blocks)]
+
+
+def _ids(s):
+    return [int(re.sub(r"\D", "", r.headers["warc-record-id"])) for r in s.records]
+
+
+def test_warc_salvage_inside_members():
+    records = _warc_records(5)
+    plain = bytearray(b"".join(records))
+    plain[len(records[0]) + len(records[1]) + 5] ^= 0xFF  # the third's version line
+    s = warc.salvage(warc.member(bytes(plain)))
+    assert _ids(s) == [0, 1, 3, 4] and [(g.member, g.start, g.end) for g in s.gaps] == [(0, sum(map(len, records[:2])), sum(map(len, records[:3])))]
+    for digest in (True, False):
+        whole = warc.member(b"".join(_warc_records(250, digest)))
+        s = warc.salvage(whole[:-20] + warc.member(records[0]))
+        assert len(_ids(s)) >= 240 and _ids(s)[-1] == 0 and s.gaps[0].start == 0 and s.gaps[-1].end == len(whole) - 20
+        # A wrong checksum: only records with digests of their own count.
+        wrong = bytearray(whole)
+        wrong[-6] ^= 0xFF
+        assert len(_ids(warc.salvage(bytes(wrong)))) == (250 if digest else 0)
+    assert warc.salvage(warc.member(b"nothing")).gaps[0].reason == "member without a valid record"
+
+
+@pytest.mark.parametrize("noise", [b"\x1f\x8b\x08", b"\x1f\x8b\x08\x00", b"WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n\r\n"])
+def test_warc_search_is_linear(noise):
+    import time
+
+    data, began = noise * ((1 << 20) // len(noise)) + _warc_records(1)[0], time.process_time()
+    s = warc.salvage(data)
+    assert _ids(s) == [0] and s.gaps[0].end == len(data) - len(_warc_records(1)[0])
+    assert time.process_time() - began < 10
+
+
 def test_fingerprints(spark, docs, empty):
     order = sorted(((-i if i is not None else math.inf, t or "", i) for i, t in TEXTS))
     want = collections.Counter()
