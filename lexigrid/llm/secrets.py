@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, unused_names
+from .common import documents, fresh_path, materialise, path_exists, text_or_empty, unused_names
 
 
 @dataclass(frozen=True)
@@ -72,68 +72,74 @@ def _spans(rule: Rule, rank: int, text: Column, found: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, seen: str | None = None) -> DataFrame:
-    """``blobs`` (blob, text and perhaps ``seen``, the rule versions done) with ``fresh``: spans by the other rules."""
+    """(blob, found) of ``blobs`` (blob, text and perhaps ``seen``, the rule versions done): the other rules' spans by rule version."""
     out = blobs
     for i, r in enumerate(rules):
         hit = F.regexp_extract_all(F.col("text"), F.lit(r.pattern), F.lit(0))
         if seen:
-            hit = F.when(F.array_contains(seen, r.version), F.array().cast("array<string>")).otherwise(hit)
+            hit = F.when(~F.array_contains(seen, r.version), hit)
         out = out.withColumn(f"m{i}", hit)
-    parts = [F.when(F.size(f"m{i}") > 0, _spans(r, i, F.col("text"), F.col(f"m{i}"))).otherwise(_no_spans()) for i, r in enumerate(rules)]
-    return out.withColumn("fresh", F.array_sort(F.concat(*parts))).drop(*(f"m{i}" for i in range(len(rules))))
+    pairs = [
+        F.struct(
+            F.lit(r.version).alias("rule_version"),
+            F.when(F.size(f"m{i}") > 0, _spans(r, i, F.col("text"), F.col(f"m{i}"))).when(F.col(f"m{i}").isNotNull(), _no_spans()).alias("spans"),
+        )
+        for i, r in enumerate(rules)
+    ]
+    return out.select("blob", F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["spans"].isNotNull())).alias("found"))
 
 
 def address(versions: DataFrame, text: str, blob: str = "blob") -> DataFrame:
-    return versions.withColumn(blob, F.sha2(text_or_empty(text).cast("binary"), 256))
+    return versions.withColumn(blob, F.unhex(F.sha2(text_or_empty(text).cast("binary"), 256)))
 
 
 def update_ledger(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """What a ledger gains from ``versions``: a row (blob, rule_version, spans) per pair not scanned before.
+    """What a ledger gains from ``versions``: rows (blob, found) with the pairs of blob and rule version not scanned before.
 
-    Pairs without findings are rows with empty spans, so that they are not scanned again. Null texts
-    are the empty blob; repeated texts are one blob; an empty table adds nothing.
+    ``found`` maps a rule version to its spans; pairs without findings have empty ones, so that they are not
+    scanned again. Null texts are the empty blob; repeated texts are one blob; an empty table adds nothing.
     """
-    blobs, seen = _unseen(versions, text, ledger)
-    scanned = scan_blobs(blobs, rules, seen)
-    pairs = F.array(*[
-        F.struct(F.lit(r.version).alias("rule_version"), F.filter("fresh", _of_rank(i)).alias("spans")) for i, r in enumerate(rules)
-    ])
-    out = scanned.select("blob", *([seen] if seen else []), F.explode(pairs).alias("p")).select("blob", *([seen] if seen else []), "p.*")
-    return out.filter(~F.array_contains(seen, F.col("rule_version"))).drop(seen) if seen else out
+    # One row of each text leaves a map task, so a text that a third of all rows repeat is no hot key.
+    blobs = versions.select(text_or_empty(text).alias("text")).transform(lambda d: address(d, "text")).dropDuplicates(["blob"])
+    if ledger is None:
+        return scan_blobs(blobs, rules)
+    done = ledger.select("blob", F.explode(F.map_keys("found")).alias("v")).groupBy("blob").agg(F.collect_set("v").alias("seen"))
+    blobs = blobs.join(done, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    every = F.array(*[F.lit(r.version) for r in rules])
+    return scan_blobs(blobs.filter(F.size(F.array_except(every, "seen")) > 0), rules, "seen")
 
 
-def _of_rank(i: int):
-    return lambda x: x["rank"] == i
+LEDGER = f"blob binary, found map<string, {SPANS}>"
 
 
-def _unseen(versions: DataFrame, text: str, ledger: DataFrame | None) -> tuple[DataFrame, str | None]:
-    addressed = versions.select(text_or_empty(text).alias("text")).transform(lambda d: address(d, "text"))
-    # One row of each text leaves a map task, so a text that a third of all rows repeat is no hot key.
-    blobs = addressed.dropDuplicates(["blob"])
-    if ledger is None:
-        return blobs, None
-    done = ledger.groupBy("blob").agg(F.collect_set("rule_version").alias("seen"))
-    return blobs.join(done, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))), "seen"
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger below ``folder``, None if nothing has been written there."""
+    return spark.read.schema(LEDGER).parquet(folder) if path_exists(spark, folder) else None
 
 
-def find_secrets(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def find_secrets(versions: DataFrame, text: str, folder: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``versions`` (paths at any time) with ``secrets``, the spans of its text.
 
     Spans are structs (start, rank, end, kind) in code points, end exclusive, sorted by start and then by
-    the order of ``rules``. With a ``ledger`` only pairs of blob and rule version that it lacks are
-    scanned; the rest come from it. Null and empty texts have none. Rows come back as they are, repeated
-    ones too; a column of the name ``secrets`` in the input makes the new one ``secrets_``.
+    the order of ``rules``. The ledger below ``folder`` (a new one in the shared folder if None) first gains
+    the pairs of blob and rule version that it lacks, which alone are scanned; findings are then joined back
+    from it. Null and empty texts have none. Rows come back as they are, repeated ones too; a column of the
+    name ``secrets`` in the input makes the new one ``secrets_``.
     """
-    blobs, seen = _unseen(versions, text, ledger)
-    new = scan_blobs(blobs, rules, seen).select("blob", "fresh").filter(F.size("fresh") > 0)
-    if ledger is not None:
-        # A blob has as many ledger rows as there are rule versions, which bounds the list.
-        wanted = F.col("rule_version").isin([r.version for r in rules])
-        old = ledger.filter(wanted & (F.size("spans") > 0)).select("blob", F.col("spans").alias("fresh"))
-        new = new.unionByName(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("fresh"))).alias("fresh"))
+    spark = versions.sparkSession
+    folder = folder or fresh_path(spark, "ledger")
+    update_ledger(versions, text, read_ledger(spark, folder), rules).write.mode("append").parquet(folder)
+    versions_of = {r.version: i for i, r in enumerate(rules)}
+    pairs = read_ledger(spark, folder).select("blob", F.explode("found").alias("rule_version", "spans"))
+    pairs = pairs.filter((F.size("spans") > 0) & F.col("rule_version").isin(list(versions_of)))
+    # Ranks by this call's order of rules, whatever it was when the blob was scanned.
+    rank = F.element_at(F.create_map(*[F.lit(x) for pair in versions_of.items() for x in pair]), F.col("rule_version"))
+    ranked = pairs.select("blob", F.transform("spans", lambda x: x.withField("rank", rank)).alias("spans"))
     blob, secrets, key = unused_names(versions, "blob", "secrets", "blob_of_finding")
-    found = new.select(F.col("blob").alias(key), F.col("fresh").alias(secrets))
-    # Adaptive execution splits the rows of a text that very many paths hold.
+    # A blob has as many pairs as there are rules, which bounds the list.
+    found = ranked.groupBy(F.col("blob").alias(key)).agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias(secrets))
+    # Written, so that the join reads two plain shuffles, whose hot keys adaptive execution splits.
+    found = materialise(found, "findings")
     joined = address(versions, text, blob).join(found, F.col(blob) == F.col(key), "left")
     return joined.drop(key, blob).withColumn(secrets, F.coalesce(secrets, _no_spans()))
 
@@ -164,6 +170,7 @@ def redact(df: DataFrame, text: str, secrets: str, mark: str = "[secret]") -> Da
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every row of ``documents`` through a ledger of its own; null texts have none, repeated rows stay."""
     found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", "secrets")
     base = F.filter("secrets", lambda x: x["rank"] < len(BASE_RULES))
     count = lambda i: F.size(F.filter("secrets", lambda x: x["rank"] == i)).cast("long")

@@ -315,7 +315,7 @@ def test_sharding(spark, docs, empty):
         sharding.rendezvous(F.lit("a"), [])
 
 
-def test_secrets(spark, docs, empty):
+def test_secrets(spark, docs, empty, tmp_path):
     def brute(t):
         out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]
         out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
@@ -327,12 +327,20 @@ def test_secrets(spark, docs, empty):
     assert len(rows) == len(TEXTS) + len(more)
     for r in rows:
         assert [tuple(x) for x in r.secrets_] == brute(r.text or "")
-    ledger = secrets.update_ledger(df, "text").cache()
-    assert ledger.count() == len({t or "" for _, t in TEXTS} | set(more)) * len(secrets.RULES)
+    folder = f"file://{tmp_path}/ledger"
+    assert secrets.read_ledger(spark, folder) is None
+    first = secrets.find_secrets(df.limit(5), "text", folder).count()
+    assert first == 5
+    assert collections.Counter(map(str, secrets.find_secrets(df, "text", folder).collect())) == collections.Counter(map(str, rows))
+    ledger = secrets.read_ledger(spark, folder)
+    pairs = ledger.select("blob", F.explode(F.map_keys("found")))
+    # Each pair was scanned once, in the first run or the second.
+    assert pairs.count() == pairs.distinct().count() == len({t or "" for _, t in TEXTS} | set(more)) * len(secrets.RULES)
     assert secrets.update_ledger(df, "text", ledger).count() == 0
-    newer = (*secrets.RULES[:-1], secrets.Rule("pem", "lazy", revision=2))
-    assert secrets.update_ledger(df, "text", ledger, newer).select("rule_version").distinct().collect()[0][0] == "pem/2"
-    assert collections.Counter(map(str, secrets.find_secrets(df, "text", ledger).collect())) == collections.Counter(map(str, rows))
+    newer = (secrets.Rule("pem", "lazy", revision=2), *secrets.RULES[:-1])
+    again = secrets.update_ledger(df, "text", ledger, newer)
+    assert again.select(F.explode(F.map_keys("found"))).distinct().collect()[0][0] == "pem/2"
+    assert {x.kind for r in secrets.find_secrets(df, "text", folder, newer).collect() for x in r.secrets_ if x.rank == 0} == {"pem"}
     clean = secrets.redact(secrets.find_secrets(df, "text"), "text", "secrets_")
     assert secrets.find_secrets(clean.drop("secrets_"), "text").filter(F.size("secrets_") > 0).count() == 0
     assert secrets.find_secrets(empty, "text").count() == 0
