@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_path, fresh_path
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,8 +14,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # The neighbours of a hub are split by adaptive execution; its row of ``least`` is one.
+    # A node's neighbours meet in a map-side minimum. The exchange by ``m`` keeps that aggregate out of the
+    # join's stage: only a join of two plain shuffles has the neighbours of a hub split by adaptive execution.
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("m")
     near = both.join(least, "u")
     if large:
         out = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -27,14 +28,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (u, v); a component is named by its smallest node.
 
-    Each round is written to the shared folder. Loops and repeated edges change nothing; without edges the
-    result is empty.
+    Each round is written to the shared folder, and the round before it removed. Loops and repeated edges
+    change nothing; without edges the result is empty.
     """
-    now = materialise(edges.filter("u <> v").select("u", "v").distinct(), "edges")
+    spark, paths = edges.sparkSession, []
+
+    def written(df: DataFrame) -> DataFrame:
+        paths.append(fresh_path(spark, "edges"))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    now = written(edges.filter("u <> v").select("u", "v").distinct())
     before = None
     for _ in range(most_rounds):
-        now = materialise(_star(_star(now, True), False), "edges")
+        now = written(_star(written(_star(now, True)), False))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        for path in paths[:-1]:
+            drop_path(spark, path)
+        del paths[:-1]
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -216,7 +216,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     group = materialise(components(edges), "groups")
 
     # Classes with candidates get their shingles from one text of each.
-    sizes = group.groupBy("component").agg(F.count("*").alias("n"))
+    sizes = materialise(group.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = group.join(sizes, "component").select(F.col("node").alias("c"), "component", blocks.alias("blocks"))
     wanted = classes.join(members, "c").select(F.col("rep"), F.col("c"), "component", "blocks", "copies", "sig")
@@ -244,8 +244,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("c").alias("u"), F.col("root").alias("v")))
     named = classes.select("c", "rep", "copies").join(joined.select(F.col("node").alias("c"), "component"), "c", "left")
-    named = named.withColumn("component", F.coalesce("component", "c"))
-    first = named.groupBy("component").agg(F.min("rep").alias("class_id"))
+    # Both written, so that their join reads no aggregate: a group that holds many classes is then no hot key.
+    named = materialise(named.withColumn("component", F.coalesce("component", "c")), "named")
+    first = materialise(named.groupBy("component").agg(F.min("rep").alias("class_id")), "class-ids")
     info = named.join(first, "component").join(links, "c", "left").select("c", "component", "rep", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.select("id", "c").join(info, "c", "left").select(
         F.col("id").alias(doc_id), "c", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -285,6 +286,7 @@ def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every row of ``documents``; rows without words stand alone, repeated rows are copies."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", "class_id", "n_links", "copy_of")
 
