@@ -17,10 +17,12 @@ _OWN_DIR: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session; only where that is unset (tests, a single machine) a
-    temporary folder of this process.
+    ``spark.checkpoint.dir`` of the session; only where that is unset and all runs on one machine (tests) a
+    temporary folder of this process. On a cluster an unset one is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or _OWN_DIR.get("dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = _OWN_DIR["dir"] = "file://" + tempfile.mkdtemp(prefix="shared-")
         atexit.register(_forget, named)
@@ -50,6 +52,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def size_of_texts(df: DataFrame, text: str) -> int:
+    """UTF-8 bytes of a column of texts."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of frames that nothing refers to any more.
 

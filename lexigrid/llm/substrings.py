@@ -12,22 +12,25 @@ settled there, so that a passage which very many texts share sends few entries f
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, materialise, release, shuffle_partitions, small_arrow_batches, text_or_empty
-from .words import SPACED, Words, split_words, windows
+from .common import documents, materialise, release, shuffle_partitions, size_of_texts, small_arrow_batches, text_or_empty
+from .words import SPACED, Words, mix, split_words, windows
 
 WINDOW = 13
 #: The longest block of which any window holds a whole one.
 ANCHOR = (WINDOW + 1) // 2
 _LAST = np.iinfo(np.int64).max
+#: Bytes of a window's second hash that travel with the first one's eight, and bytes of text for one range of keys or texts.
+MORE_BYTES, RANGE_BYTES = 6, 8 << 20
+_SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 def _planes(a: np.ndarray, size: int) -> bytes:
@@ -44,21 +47,23 @@ def _from_planes(data: bytes, size: int, dtype: type) -> np.ndarray:
 
 @dataclass
 class Entries:
-    """Places in texts: rank and tag name the text, ``key`` is what stands there (or nothing, once it is decided)."""
+    """Places in texts: rank and tag name the text, ``key`` and ``more`` are what stands there (or nothing, once it is decided)."""
 
     rank: np.ndarray
     tag: np.ndarray
     pos: np.ndarray
     key: np.ndarray
+    more: np.ndarray | None = None
 
     def take(self, at: np.ndarray) -> Entries:
-        return Entries(self.rank[at], self.tag[at], self.pos[at], self.key[at])
+        return Entries(self.rank[at], self.tag[at], self.pos[at], self.key[at], None if self.more is None else self.more[at])
 
     @staticmethod
     def join(parts: list[Entries]) -> Entries:
         if not parts:
-            return Entries(np.empty(0, np.int64), np.empty(0, np.uint16), np.empty(0, np.uint32), np.empty(0, np.uint64))
-        return Entries(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("rank", "tag", "pos", "key")))
+            return Entries(np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint64))
+        more = None if parts[0].more is None else np.concatenate([p.more for p in parts])
+        return Entries(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("rank", "tag", "pos", "key")), more)
 
     def pack(self, key_bytes: int) -> dict[str, bytes]:
         """Runs of one text once each, then places and keys."""
@@ -67,17 +72,19 @@ class Entries:
         starts = np.flatnonzero(new)
         runs = np.diff(np.append(starts, len(self.rank))).astype(np.uint32)
         return {
-            "ranks": _planes(self.rank[starts], 8), "tags": _planes(self.tag[starts], 2), "runs": _planes(runs, 4),
-            "places": _planes(self.pos, 4), "keys": _planes(self.key, key_bytes) if key_bytes else b"",
+            "ranks": _planes(self.rank[starts], 8), "tags": _planes(self.tag[starts], 4), "runs": _planes(runs, 4),
+            "places": _planes(self.pos, 4), "keys": _planes(self.key, key_bytes) + (b"" if self.more is None else _planes(self.more, MORE_BYTES)) if key_bytes else b"",
         }
 
     @staticmethod
     def unpack(row, key_bytes: int) -> Entries:
         runs = _from_planes(row.runs, 4, np.uint32)
-        rank, tag = np.repeat(_from_planes(row.ranks, 8, np.int64), runs), np.repeat(_from_planes(row.tags, 2, np.uint16), runs)
+        rank, tag = np.repeat(_from_planes(row.ranks, 8, np.int64), runs), np.repeat(_from_planes(row.tags, 4, np.uint32), runs)
         pos = _from_planes(row.places, 4, np.uint32)
-        key = _from_planes(row.keys, key_bytes, np.uint64) if key_bytes else np.zeros(len(pos), np.uint64)
-        return Entries(rank, tag, pos, key)
+        if not key_bytes:
+            return Entries(rank, tag, pos, np.zeros(len(pos), np.uint64))
+        size, rest = key_bytes * len(pos), row.keys[key_bytes * len(pos) :]
+        return Entries(rank, tag, pos, _from_planes(row.keys[:size], key_bytes, np.uint64), _from_planes(rest, MORE_BYTES, np.uint64) if rest else None)
 
 
 PACKED = "ranks binary, tags binary, runs binary, places binary, keys binary"
@@ -93,12 +100,16 @@ def _home_column(rank, tag, n: int):
     return F.pmod(rank.bitwiseXOR(F.shiftright(rank, 7)).bitwiseXOR(F.shiftright(rank, 13)).bitwiseXOR(tag), F.lit(n)).cast("int")
 
 
-def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grouped(e: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by key, where each key begins in it, and the group of each place in it."""
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
+    order = np.argsort(e.key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(e.key[order]) != 0
+    if e.more is not None:
+        differ = np.diff(e.more[order]) != 0
+        if (differ & ~new[1:]).any():  # one key of several windows, which is very rare
+            order = np.lexsort((e.more, e.key))
+            new[1:] = (np.diff(e.key[order]) != 0) | (np.diff(e.more[order]) != 0)
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
@@ -107,7 +118,7 @@ def anchor_hits(e: Entries) -> tuple[np.ndarray, np.ndarray]:
     meets; and which of them others still need: probes not met so far and each key's largest text."""
     if not len(e.key):
         return np.zeros(0, bool), np.zeros(0, bool)
-    order, starts, group = _grouped(e.key)
+    order, starts, group = _grouped(e)
     rank, anchor = e.rank[order], e.pos[order] % ANCHOR == 0
     least = np.minimum.reduceat(np.where(anchor, rank, _LAST), starts)[group]
     most = np.maximum.reduceat(rank, starts)[group]
@@ -126,7 +137,7 @@ def window_repeats(e: Entries) -> tuple[np.ndarray, np.ndarray]:
     """Which windows also start in a smaller text, and which ones a text elsewhere may still precede."""
     if not len(e.key):
         return np.zeros(0, bool), np.zeros(0, bool)
-    order, starts, group = _grouped(e.key)
+    order, starts, group = _grouped(e)
     rank = e.rank[order]
     repeated = np.zeros(len(rank), bool)
     repeated[order] = rank > np.minimum.reduceat(rank, starts)[group]
@@ -146,8 +157,8 @@ def _settle(rows: pd.DataFrame, decide, key_bytes: int, parts: int) -> pd.DataFr
     for r in rows.itertuples(index=False):
         (settled if r.settled else asked).append(Entries.unpack(r, 0 if r.settled else key_bytes))
     e = Entries.join(asked)
-    found = [e.take(np.flatnonzero(decide(e)[0])), *settled]
-    done = Entries.join(found)
+    hit = e.take(np.flatnonzero(decide(e)[0]))
+    done = Entries.join([replace(hit, more=None), *settled])
     return pd.DataFrame(_rows(done, home(done.rank, done.tag, parts), 0), columns=["p", *_ROW])
 
 
@@ -160,10 +171,6 @@ def _ask(e: Entries, decide, key_bytes: int, parts: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["settled", "p", *_ROW])
 
 
-def _tags(texts: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(t.encode()) & 0xFFFF for t in texts), np.uint16, len(texts))
-
-
 def _own_places(docs: pd.DataFrame, found: pd.DataFrame) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of some texts, and the texts' numbers and places that packed rows name."""
     texts = list(docs["body"])
@@ -191,21 +198,23 @@ def _covered(words: Words, text: np.ndarray, pos: np.ndarray, back: int, ahead:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row.
 
     A word goes if a window of 13 words over it also starts in a row of smaller doc_id (a whole number).
     Null and empty texts have no words; texts below 13 words keep all. A null doc_id is larger than all
-    others; rows of equal doc_id don't take words from each other. Windows are compared by 64-bit hashes
-    of all their words.
+    others; rows of equal doc_id don't take words from each other. Windows are compared by 112 bits of
+    hashes of all their words. Keys and texts are dealt to ranges, one for ``range_bytes`` of text or so.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema[doc_id].dataType, T.IntegralType):
+        raise TypeError(f"{doc_id} must be a whole number, which its order is taken from")
     small_arrow_batches(spark, 2000, "16m")
-    parts = shuffle_partitions(spark)
+    parts = max(shuffle_partitions(spark), -(-size_of_texts(df, text) // range_bytes))
     kind = df.schema[doc_id].dataType.simpleString()
     rank = F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_LAST)))
     body = text_or_empty(text)
-    docs = df.select(rank.alias("rank"), F.crc32(body.cast("binary")).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("tag"), body.alias("body"))
+    docs = df.select(rank.alias("rank"), F.crc32(body.cast("binary")).alias("tag"), body.alias("body"))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,12 +223,12 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             ok &= np.repeat(words.counts >= WINDOW, words.counts)
             at = np.flatnonzero(ok)
             owner = np.repeat(np.arange(len(pdf)), words.counts)[at]
-            e = Entries(pdf["rank"].to_numpy(np.int64)[owner], pdf["tag"].to_numpy(np.uint16)[owner], (at - words.firsts[owner]).astype(np.uint32), key[at])
+            e = Entries(pdf["rank"].to_numpy(np.int64)[owner], pdf["tag"].to_numpy(np.uint32)[owner], (at - words.firsts[owner]).astype(np.uint32), key[at])
             yield _ask(e, anchor_hits, 5, parts)
 
     # Five bytes of a key travel; the range that a row belongs to is the rest of it.
     asked = docs.mapInPandas(probe, f"settled boolean, p int, {PACKED}")
-    hits = materialise(asked.groupBy("p").applyInPandas(lambda rows: _settle(rows, anchor_hits, 5, parts), f"p int, {PACKED}"), "anchor-hits")
+    hits = materialise(asked.repartition(parts, "p").groupBy("p").applyInPandas(lambda rows: _settle(rows, anchor_hits, 5, parts), f"p int, {PACKED}"), "anchor-hits")
     del asked
     release(spark)
 
@@ -234,8 +243,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         ok &= _covered(words, text, pos, ANCHOR - 1, 1)
         at = np.flatnonzero(ok)
         owner = np.repeat(np.arange(len(docs)), words.counts)[at]
-        ranks, tags = docs["rank"].to_numpy(np.int64), docs["tag"].to_numpy(np.uint16)
-        e = Entries(ranks[owner], tags[owner], (at - words.firsts[owner]).astype(np.uint32), key[at])
+        ranks, tags = docs["rank"].to_numpy(np.int64), docs["tag"].to_numpy(np.uint32)
+        second = windows(replace(words, hashes=mix(words.hashes ^ _SECOND)), WINDOW)[0][at] & np.uint64((1 << 8 * MORE_BYTES) - 1)
+        e = Entries(ranks[owner], tags[owner], (at - words.firsts[owner]).astype(np.uint32), key[at], second)
         # Repeated rows of one name would ask twice.
         out = _ask(e, window_repeats, 8, parts)
         open_ = np.zeros(len(docs), bool)
@@ -252,10 +262,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pd.concat([out, rest], ignore_index=True).reindex(columns=columns)
 
     mixed = f"settled boolean, p int, {PACKED}, rank long, tag long, body string, n_words long"
-    extended = materialise(placed.groupBy("p").cogroup(hits.groupBy("p")).applyInPandas(extend, mixed), "extended")
+    extended = materialise(placed.repartition(parts, "p").groupBy("p").cogroup(hits.repartition(parts, "p").groupBy("p")).applyInPandas(extend, mixed), "extended")
     release(spark)
     candidates = extended.filter("settled is not null").select("settled", "p", *_ROW)
-    repeats = candidates.groupBy("p").applyInPandas(lambda rows: _settle(rows, window_repeats, 8, parts), f"p int, {PACKED}")
+    repeats = candidates.repartition(parts, "p").groupBy("p").applyInPandas(lambda rows: _settle(rows, window_repeats, 8, parts), f"p int, {PACKED}")
 
     def cut(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         columns = ["rank", "n_words", "n_removed", "kept_sha256", "kept"]
@@ -274,7 +284,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         })
 
     open_ = extended.filter("settled is null and body is not null").select("p", "rank", "tag", "body")
-    done = open_.groupBy("p").cogroup(repeats.groupBy("p")).applyInPandas(cut, "rank long, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = open_.repartition(parts, "p").groupBy("p").cogroup(repeats.repartition(parts, "p").groupBy("p")).applyInPandas(cut, "rank long, n_words long, n_removed long, kept_sha256 string, kept string")
     whole = extended.filter("settled is null and body is null").select("rank", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("keys")).alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
     own = F.when(F.col("rank") == int(_LAST), F.lit(None)).otherwise(F.col("rank")).cast(kind).alias(doc_id)
     # ``kept`` is null where all words stay, which needs no copy of the text.
@@ -282,6 +292,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` without the windows that a row of smaller doc_id has too; null texts have no words, repeated rows keep theirs."""
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

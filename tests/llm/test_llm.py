@@ -395,6 +395,19 @@ def test_linear_classifier_against_newtons_steps():
     assert np.allclose([*w, bias], v, atol=0.05)
 
 
+def test_windows_of_one_hash_are_told_apart_by_the_second():
+    e = substrings.Entries(np.array([1, 2, 3, 4]), np.zeros(4, np.uint32), np.zeros(4, np.uint32), np.full(4, 9, np.uint64), np.array([5, 6, 5, 6], np.uint64))
+    assert substrings.window_repeats(e)[0].tolist() == [False, False, True, True]
+    row = type("Row", (), e.pack(8))
+    assert substrings.Entries.unpack(row, 8).more.tolist() == [5, 6, 5, 6]
+
+
+def test_components_of_hubs_and_chains(spark):
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 360)] + [(7, 7), (400, 399), (399, 400)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u int, v int")).collect()}
+    assert got == {k: 0 for k in range(200)} | {k: 300 for k in range(300, 361)} | {399: 399, 400: 399}
+
+
 def test_pipeline_stages_keep_columns_and_meet_awkward_rows(spark, docs, empty):
     import corpus_pipeline
 
