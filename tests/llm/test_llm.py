@@ -87,7 +87,7 @@ def test_attention_scores_each_unit_once_and_sums_to_one():
     ids, counts, _ = attention.units(texts, v)
     assert counts.tolist() == [7, 1, 1, 201] and len(ids) == counts.sum()
     top = np.array([attention.END, *[i for i in np.unique(ids) if i != attention.END]])
-    t = attention.make_tables(np.zeros(1, int), np.ones(1, int), np.ones(1, np.float32), top, v.size)
+    t = attention.make_tables(np.zeros(1, int), np.ones(1, int), np.ones(1, np.float32), top, np.bincount(ids, minlength=v.size))
     before, _, valid, place = attention.windowed(ids, counts, t)
     assert sorted(place[valid].tolist()) == list(range(len(ids)))
     m = attention.Attention(len(top) + 1)
@@ -103,7 +103,7 @@ def test_attention_scores_each_unit_once_and_sums_to_one():
 
 def test_attention_gradients():
     rng = np.random.default_rng(0)
-    t = attention.make_tables(rng.integers(0, 6, 50), rng.integers(0, 6, 50), np.ones(50, np.float32), np.array([attention.END, 1, 2, 3, 4]), attention.END + 1)
+    t = attention.make_tables(rng.integers(0, 6, 50), rng.integers(0, 6, 50), np.ones(50, np.float32), np.array([attention.END, 1, 2, 3, 4]), np.zeros(attention.END + 1))
     m = attention.Attention(6)
     m.out = rng.standard_normal(m.out.shape).astype(np.float32) * 0.2
     b, w, ok = rng.integers(0, 6, (3, attention.WINDOW)), t.of_class[rng.integers(0, 6, (3, attention.WINDOW))], np.ones((3, attention.WINDOW), bool)
