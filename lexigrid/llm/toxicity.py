@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import documents, small_arrow_batches, unused_names
 from .words import ALNUM, split_words
 
-#: Labelled rows that the label model and the classifier are fitted on, at most (chosen by hash).
-FIT_ROWS = 16_000
+#: Labelled rows that voters are chosen over, and that the label model and the classifier are fitted on, at most (by hash).
+VOTER_ROWS, FIT_ROWS = 200_000, 16_000
 #: Voters at most: the strongest by G2, which is at least LEAST_G2.
 MOST_VOTERS, LEAST_G2, LEAST_ODDS = 1024, 24.0, 25.0
 #: Bytes of the beginnings of words that are tried as patterns.
@@ -220,9 +220,14 @@ def training_rows(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
 
 
+def _share(rows: DataFrame, share: float) -> DataFrame:
+    """A share of ``rows`` by a hash of ``id``, all of them from 1 on."""
+    return rows if share >= 1 else rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> Model:
-    """Fit on the labelled training rows: voters are chosen over all of them, the label model and the
-    classifier take ``rows`` of them at most, by hash.
+    """Fit on the labelled training rows: voters are chosen over VOTER_ROWS of them at most, by hash, the
+    label model and the classifier take ``rows`` of those.
 
     Rows without a label or id teach nothing; several labels of one id count as its largest. Without any
     toxic label there are no voters, and every text gets the share of toxic labels as its score.
@@ -230,7 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     small_arrow_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & training_rows(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    labelled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(known, "id")
+    # VOTER_ROWS pairs of numbers at most, give or take chance: texts of any number stay where they are.
+    known = _share(known, VOTER_ROWS / max(1, known.count()))
+    labelled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(F.broadcast(known), "id")
     n_pos, n_all = labelled.agg(F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0)), F.count("*")).first()
     n_neg = n_all - n_pos
     bias = float(np.log((n_pos + 1) / (n_neg + 1))) if n_all else -5.0
@@ -246,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             toxic = np.bincount(at, pdf["y"].to_numpy()[t] == 1, minlength=len(names)).astype(np.int64)
             yield pd.DataFrame({"f": names.view(np.int64), "pos": toxic, "neg": np.bincount(at, minlength=len(names)) - toxic})
 
-    # Over all labelled rows, with no least count; what is collected has MOST_VOTERS rows at most.
+    # No least count; what is collected has MOST_VOTERS rows at most.
     counts = labelled.mapInPandas(count, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     strength = g2_column(F.col("pos"), F.col("neg"), n_pos, n_neg)
     odds = (F.col("pos") + 0.5) / F.lit(n_pos) / ((F.col("neg") + 0.5) / F.lit(n_neg))
@@ -254,8 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     voters = np.sort(best["f"].to_numpy(np.int64).view(np.uint64))
     if not len(voters):
         return nothing
-    share = min(1.0, rows / n_all)
-    sample = labelled if share >= 1 else labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = _share(labelled, rows / n_all)
 
     def fired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
