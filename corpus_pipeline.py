@@ -43,7 +43,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number and digest of the token ids, and digest of what they decode to."""
-    return bpe.encode_documents(docs.select("doc_id", "text"), memory=20_000).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_documents(docs.select("doc_id", "text"), memory=100_000).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
