@@ -23,9 +23,16 @@ def _frame(corpus: Corpus, bins: int | None, width: int | None, runs: DataFrame
     return sized.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)))
 
 
-def trend(corpus: Corpus, occ: DataFrame, bins: int | None = None, width: int | None = None, runs: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
+def track_names(corpus: Corpus, n: int) -> DataFrame:
+    """The numbers of the tracks that a request names, of which some may occur nowhere."""
+    return corpus.spark.range(n, numPartitions=1).select(F.col("id").cast("int").alias("track"))
+
+
+def trend(corpus: Corpus, occ: DataFrame, tracks: int, bins: int | None = None, width: int | None = None, runs: DataFrame | None = None, most_rows: int | None = None) -> DataFrame:
     """Occurrences (track, doc_id, pos) per bin that their first token falls into; bins begin anew in each document.
 
+    Rows are there for each of ``tracks`` tracks, with zeros for those that occur nowhere.
+
     Either ``bins`` equal ones (4 to 200; the last may be empty) or as many of ``width`` tokens (250 to
     50,000) as needed. Documents without tokens have no rows.
     """
@@ -48,8 +55,7 @@ def trend(corpus: Corpus, occ: DataFrame, bins: int | None = None, width: int |
     at = F.least(F.col("n_bins") - 1, F.floor(F.col("pos") / F.col("width")))
     counts = occ.join(shape, "doc_id").groupBy("track", "doc_id", at.alias("bin")).agg(F.count("*").alias("count"))
     # Tracks are the few that a request names.
-    names = occ.select("track").distinct()
-    out = frame.crossJoin(F.broadcast(names)).join(counts, ["track", "doc_id", "bin"], "left").fillna(0, ["count"])
+    out = frame.crossJoin(F.broadcast(track_names(corpus, tracks))).join(counts, ["track", "doc_id", "bin"], "left").fillna(0, ["count"])
     return out.select("track", "doc_id", "bin", "bin_start", "bin_tokens", "count", stats.rate(F.col("count"), F.col("bin_tokens")).alias("rate_per_10k"), "seq_base", F.col("token_count").alias("doc_tokens"))
 
 
@@ -65,23 +71,27 @@ def smooth(rows: DataFrame, window: int = 5) -> DataFrame:
     return rows.withColumn("smoothed", F.when(tokens > 0, F.when(enough, mean).otherwise(F.col("rate_per_10k"))))
 
 
-def range_compare(corpus: Corpus, occ: DataFrame, runs: DataFrame, evidence: float = 5.0) -> DataFrame:
-    """Per track: occurrences and tokens inside ranges and outside them in the same documents, and their contrast.
+def range_compare(corpus: Corpus, occ: DataFrame, tracks: int, runs: DataFrame, evidence: float = 5.0) -> DataFrame:
+    """Per track: occurrences and tokens inside ranges and outside them in the whole corpus, and their contrast.
 
     ``evidenced``: the smaller side would hold ``evidence`` occurrences at the pooled rate. ``undefined``
-    says why there is no contrast.
+    says why there is no contrast: whole-corpus (nothing lies outside), empty-range or no-occurrences.
     """
-    docs = corpus.docs.join(runs, "doc_id", "left_semi")
-    total = docs.agg(F.sum("token_count").alias("tokens"))
-    inside = runs.agg(F.sum(F.col("r_end") - F.col("r_start")).alias("tokens_in"))
-    o, r = occ.join(docs.select("doc_id"), "doc_id").alias("o"), runs.alias("r")
+    total = corpus.docs.agg(F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
+    inside = runs.agg(F.coalesce(F.sum(F.col("r_end") - F.col("r_start")), F.lit(0)).alias("tokens_in"))
+    o, r = occ.alias("o"), runs.alias("r")
     held = (F.col("o.doc_id") == F.col("r.doc_id")) & (F.col("pos") >= F.col("r_start")) & (F.col("pos") < F.col("r_end"))
     hits = o.join(r, held, "left").groupBy("track").agg(F.count("*").alias("hits"), F.count("r_start").alias("hits_in"))
-    row = hits.crossJoin(F.broadcast(total.crossJoin(inside))).withColumns({"hits_out": F.col("hits") - F.col("hits_in"), "tokens_out": F.col("tokens") - F.col("tokens_in")})
-    expected = F.col("hits") / F.col("tokens") * F.least("tokens_in", "tokens_out")
+    every = track_names(corpus, tracks).join(hits, "track", "left").fillna(0, ["hits", "hits_in"])
+    row = every.crossJoin(F.broadcast(total.crossJoin(F.broadcast(inside)))).withColumns({"hits_out": F.col("hits") - F.col("hits_in"), "tokens_out": F.col("tokens") - F.col("tokens_in")})
+    why = F.when(F.col("tokens_out") <= 0, "whole-corpus").when(F.col("tokens_in") <= 0, "empty-range").when(F.col("hits") == 0, "no-occurrences")
+    defined = lambda c: F.when(why.isNull(), c)
+    expected = F.col("hits") / F.nullif(F.col("tokens"), F.lit(0)) * F.least("tokens_in", "tokens_out")
     contrast = stats.rate_contrast(F.col("hits_in"), F.col("tokens_in"), F.col("hits_out"), F.col("tokens_out"))
-    why = F.when(F.col("tokens_in") == 0, "empty-inside").when(F.col("tokens_out") == 0, "empty-outside").when(F.col("hits") == 0, "no-hits")
-    return row.select("track", "hits_in", "tokens_in", "hits_out", "tokens_out", contrast.alias("contrast"), expected.alias("expected_min"), (expected >= evidence).alias("evidenced"), why.alias("undefined"))
+    return row.select(
+        "track", "hits_in", "tokens_in", "hits_out", "tokens_out", defined(contrast).alias("contrast"), defined(expected).alias("expected_min"),
+        defined(expected >= evidence).alias("evidenced"), why.alias("undefined"),
+    )
 
 
 def book_totals(rows: DataFrame) -> DataFrame:
@@ -141,3 +151,25 @@ def dispersion_density(corpus: Corpus, occ: DataFrame, budget: int = BUCKETS) ->
     out = found.groupBy("track", "doc_id", "bucket", start.alias("bucket_start")).agg(F.count("*").alias("count"))
     fullest = out.groupBy("track").agg(F.max("count").alias("most"))
     return out.join(F.broadcast(fullest), "track").select("track", "doc_id", "bucket", "bucket_start", "count", (F.col("count") / F.col("most")).alias("intensity"))
+
+
+def slot_map(corpus: Corpus, doc_ids: DataFrame) -> DataFrame:
+    """doc_id, ordinal in the corpus and slot among the selected documents, both from 0 in declared order."""
+    from .corpus import running_total
+
+    chosen = corpus.docs.select("doc_id").join(doc_ids.select("doc_id").distinct().withColumn("chosen", F.lit(1)), "doc_id", "left").fillna(0, ["chosen"]).withColumn("one", F.lit(1))
+    numbered = running_total(running_total(chosen, "doc_id", "one", "ordinal"), "doc_id", "chosen", "slot")
+    return numbered.filter("chosen = 1").select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("slot").cast("long").alias("slot"))
+
+
+def trend_display(rows: DataFrame, view: str = "rate") -> DataFrame:
+    """Trend rows with ``value``: the rate per 10,000 tokens or the count."""
+    if view not in ("rate", "count"):
+        raise ValueError("the view is rate or count")
+    return rows.withColumn("value", F.col("rate_per_10k") if view == "rate" else F.col("count").cast("double"))
+
+
+def bar_scale(rows: DataFrame, value: str = "log_ratio") -> DataFrame:
+    """``bar``: the size of ``value`` in percent of the largest one, which counts as 1 at least."""
+    most = rows.agg(F.greatest(F.lit(1.0), F.coalesce(F.max(F.abs(F.col(value))), F.lit(0.0))).alias("most_"))
+    return rows.crossJoin(F.broadcast(most)).withColumn("bar", F.abs(F.col(value)) / F.col("most_") * 100).drop("most_")

@@ -1,21 +1,27 @@
 """The positional corpus: one row per token, and the small tables that follow from it.
 
 Tokens are runs of letters, marks, digits and underscores, joined over single apostrophes and points
-(profile ``regex-word-v1``). Everything is clustered by document once; sentence, paragraph and character
-places are running sums over that distribution. Offsets are code points.
+(profile ``regex-word-v1``). Sentence, paragraph and character places are running sums inside each text.
+Offsets are code points.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+#: Texts whose tokens are handled together.
+PIECE_DOCS = 256
 TOKEN = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
 NUMERAL = r"^\p{N}+(?:[.,·]\p{N}+)*$"
 SENTENCE_BREAK = r"[.!?…]+[\"'”’)\]]*\s"
@@ -37,29 +43,50 @@ def without_marks(keys: pd.Series) -> pd.Series:
     return keys.map(strip_marks)
 
 
-def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerals: bool = True, clustered: bool = True) -> DataFrame:
+def _places(batches: Iterator[pa.RecordBatch], numerals: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of tokens from rows of texts (doc_id, tk, sp: tokens and what stands between), some texts at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, PIECE_DOCS):
+            part = batch.slice(first, PIECE_DOCS)
+            tk, sp = part.column("tk"), part.column("sp")
+            n = np.asarray(pc.fill_null(pc.list_value_length(tk), 0), np.int64)
+            firsts = np.cumsum(n) - n
+            # The stretch behind a text's last token belongs to none.
+            m = np.asarray(pc.fill_null(pc.list_value_length(sp), 0), np.int64)
+            before = np.ones(int(m.sum()), bool)
+            before[(np.cumsum(m) - 1)[m > 0]] = False
+            raw, gap = pc.list_flatten(tk), pc.list_flatten(sp).filter(pa.array(before))
+            doc, pos = np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(firsts, n)
+
+            def inside(x: np.ndarray, n=n, firsts=firsts) -> np.ndarray:
+                total = np.concatenate([[0], np.cumsum(x)])
+                return total[1:] - np.repeat(total[firsts], n)
+
+            size = np.asarray(pc.utf8_length(raw), np.int64)
+            end = inside(np.asarray(pc.utf8_length(gap), np.int64) + size)
+            hit = lambda pattern, gap=gap: np.asarray(pc.match_substring_regex(gap, pattern), bool)
+            paragraph = hit(PARAGRAPH_BREAK) & (pos > 0)
+            sentence = paragraph | hit(SENTENCE_BREAK) & (pos > 0)
+            numeral = np.asarray(pc.match_substring_regex(raw, NUMERAL), bool)
+            columns = {
+                "doc_id": part.column("doc_id").take(pa.array(doc)), "pos": pos if numerals else inside(~numeral) - 1, "raw": raw,
+                "key": pc.replace_substring_regex(raw, "[’ʼ]", "'"), "cls": pc.if_else(pa.array(numeral), "numeral", "lexical"),
+                "char_start": end - size, "char_end": end, "sent_id": inside(sentence), "para_id": inside(paragraph),
+            }
+            out = pa.RecordBatch.from_pydict({c: x if isinstance(x, pa.Array | pa.ChunkedArray) else pa.array(x, pa.int64()) for c, x in columns.items()})
+            yield out if numerals else out.filter(pa.array(~numeral))
+
+
+def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerals: bool = True) -> DataFrame:
     """doc_id, pos, raw, key, cls, char_start, char_end, sent_id, para_id of every token.
 
     Without ``numerals`` those tokens are dropped and positions counted without them. Null texts have none.
+    A text is one row, so all places are counted inside it: nothing is moved or sorted.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if clustered:
-        base = base.repartition("doc_id")
-    cut = base.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tk"), F.split("text", TOKEN, -1).alias("sp"))
-    pairs = cut.select("doc_id", F.posexplode(F.arrays_zip("tk", F.expr("slice(sp, 1, size(tk))").alias("gap"))).alias("raw_pos", "z"))
-    w = Window.partitionBy("doc_id").orderBy("raw_pos")
-    raw, gap, inner = F.col("z.tk"), F.col("z.gap"), F.col("raw_pos") > 0
-    placed = pairs.select(
-        "doc_id", "raw_pos", raw.alias("raw"), normal_key(raw).alias("key"),
-        F.when(raw.rlike(NUMERAL), "numeral").otherwise("lexical").alias("cls"),
-        F.sum(F.length(gap) + F.length(raw)).over(w).alias("char_end"),
-        F.sum((inner & (gap.rlike(SENTENCE_BREAK) | gap.rlike(PARAGRAPH_BREAK))).cast("int")).over(w).alias("sent_id"),
-        F.sum((inner & gap.rlike(PARAGRAPH_BREAK)).cast("int")).over(w).alias("para_id"),
-    )
-    pos = F.col("raw_pos").cast("long")
-    if not numerals:
-        placed, pos = placed.filter("cls = 'lexical'"), F.row_number().over(w) - 1
-    return placed.select("doc_id", pos.cast("long").alias("pos"), "raw", "key", "cls", (F.col("char_end") - F.length("raw")).alias("char_start"), "char_end", "sent_id", "para_id")
+    cut = docs.select(F.col(doc_id).alias("doc_id"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tk"), F.split(text, TOKEN, -1).alias("sp"))
+    kind = cut.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, pos long, raw string, key string, cls string, char_start long, char_end long, sent_id long, para_id long"
+    return cut.mapInArrow(lambda batches: _places(batches, numerals), schema)
 
 
 def running_total(df: DataFrame, order: str, value: str, to: str, leading: str | None = None) -> DataFrame:
@@ -121,12 +148,26 @@ class Corpus:
         return running_total(vocab.withColumn("seen_doc", F.col("seen.doc_id")), "seen", "one", "type_id", "seen_doc").select("key", "cls", "n", "df", F.col("type_id").cast("long").alias("type_id"))
 
 
-_OPEN: dict[tuple[int, str], Corpus] = {}
+    def close(self) -> None:
+        """Let go of everything that was computed and kept."""
+        for name in ("tokens", "docs", "doc_terms", "folded"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+        self.__dict__.pop("vocab", None)
+
+
+_OPEN: dict[tuple[str, str], Corpus] = {}
+#: Corpora of one application that stay open; the one opened first goes when there are more.
+MOST_OPEN = 4
 
 
 def open_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The corpus of a folder's documents; kept for the session, so that queries share its tokens."""
-    key = id(spark.sparkContext), sf_dir
-    if key not in _OPEN:
-        _OPEN[key] = Corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return _OPEN[key]
+    """The corpus of a folder's documents; kept for the application, so that queries share its tokens."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _OPEN if k[0] != app]:
+        del _OPEN[key]  # of an application that has ended
+    if (app, sf_dir) not in _OPEN:
+        while len(_OPEN) >= MOST_OPEN:
+            _OPEN.pop(next(iter(_OPEN))).close()
+        _OPEN[app, sf_dir] = Corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return _OPEN[app, sf_dir]

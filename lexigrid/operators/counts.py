@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
 from .corpus import Corpus
-from .selection import overlaps, selected_tokens
+from .selection import selected_tokens
 
 CLASSES = ("lexical", "numeral")
 
@@ -25,6 +25,17 @@ def _check_page(offset: int, limit: int) -> None:
         raise ValueError("a page has 1 to 200 rows from 0 on")
 
 
+def _with_totals(counts: DataFrame, *by: str) -> DataFrame:
+    """``counts`` with key_total, the sum of n by ``by``.
+
+    The sums are added up before the shuffle. A window instead would bring all documents that have a very
+    common word into one task; this join broadcasts the sums or, where they are too many, reads two plain
+    shuffles (hence the exchange by another column), whose hot keys adaptive execution splits.
+    """
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("key_total")).repartition("key_total")
+    return counts.join(totals, list(by))
+
+
 def frequency_table(corpus: Corpus, doc_ids: DataFrame | None = None, runs: DataFrame | None = None, classes: tuple[str, ...] = CLASSES, min_count: int = 1,
                     min_docs: int = 1, pattern: str | None = None, dispersion: bool = True) -> DataFrame:
     """Every type of the selection with count, document frequency, rate and Gries' DP (0 below two parts with tokens)."""
@@ -40,10 +51,10 @@ def frequency_table(corpus: Corpus, doc_ids: DataFrame | None = None, runs: Data
     totals = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count_if(F.col("size") > 0).alias("parts"), F.coalesce(F.min("size"), F.lit(0)).alias("least"))
     out = counts
     if dispersion:
-        part = F.col("n") / F.sum("n").over(Window.partitionBy("key"))
+        part = F.col("n") / F.col("key_total")
         share = F.col("size") / F.col("total")
         # Only documents that have the type need a row: those without add their share, and all shares add up to 1.
-        moved = counts.join(sizes.crossJoin(F.broadcast(totals.select("total"))), "doc_id").withColumn("moved", F.abs(part - share) - share)
+        moved = _with_totals(counts, "key").join(sizes.crossJoin(F.broadcast(totals.select("total"))), "doc_id").withColumn("moved", F.abs(part - share) - share)
         out = moved.groupBy("key", "cls").agg(F.sum("n").alias("count"), F.count("*").alias("doc_freq"), F.sum("moved").alias("moved"))
     else:
         out = counts.groupBy("key", "cls").agg(F.sum("n").alias("count"), F.count("*").alias("doc_freq"))
@@ -102,8 +113,8 @@ def _sides(corpus: Corpus, sides: DataFrame, classes: tuple[str, ...]) -> tuple[
     pick = lambda col, s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col(col))), F.lit(0))
     totals = per_side.agg(*[pick(c, s).alias(f"{c}_{s}") for c in ("total", "parts") for s in "ab"])
     share = F.col("size") / F.col("total")
-    part = F.col("n") / F.sum("n").over(Window.partitionBy("key", "side"))
-    moved = counts.join(sizes, ["side", "doc_id"]).join(F.broadcast(per_side.select("side", "total")), "side").withColumn("moved", F.abs(part - share) - share)
+    part = F.col("n") / F.col("key_total")
+    moved = _with_totals(counts, "key", "side").join(sizes, ["side", "doc_id"]).join(F.broadcast(per_side.select("side", "total")), "side").withColumn("moved", F.abs(part - share) - share)
     one = lambda s, col: F.when(F.col("side") == s, col)
     merged = moved.groupBy("key", "cls").agg(
         *[F.coalesce(F.sum(one(s, F.col("n"))), F.lit(0)).alias(f"count_{s}") for s in "ab"], *[F.count(one(s, F.lit(1))).alias(f"range_{s}") for s in "ab"],
@@ -122,9 +133,38 @@ def divergence(corpus: Corpus, a: DataFrame, b: DataFrame, classes: tuple[str, .
     return types.crossJoin(F.broadcast(totals)).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum(term))).alias("bits"), F.count("*").alias("types"))
 
 
-def selection_keyness_check(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Documents in which two ranged selections overlap, which keyness refuses."""
-    return overlaps(a, b)
+#: What a keyness page can be sorted by.
+KEYNESS_SORTS = ("log_ratio", "g2", "count_a", "count_b")
+
+
+def keyness_page(corpus: Corpus, a: DataFrame, b: DataFrame, sort: str = "g2", descending: bool = True, offset: int = 0, limit: int = 50, **options) -> DataFrame:
+    """A page of the keyness table with type_id and ``total``, the number of rows of all pages.
+
+    Ties go by G2, then by the count of both sides (the larger first), then by what was seen first. A side
+    that has no token of the wanted classes is an error.
+    """
+    _check_page(offset, limit)
+    if sort not in KEYNESS_SORTS:
+        raise ValueError(f"sort is one of {', '.join(KEYNESS_SORTS)}")
+    classes = options.get("classes", CLASSES)
+    for name, side in (("a", a), ("b", b)):
+        if not corpus.doc_terms.filter(F.col("cls").isin(*classes)).join(side, "doc_id", "left_semi").limit(1).count():
+            raise ValueError(f"side {name} has no token of these classes")
+    table = keyness_table(corpus, a, b, **options)
+    total = table.agg(F.count("*").alias("total"))
+    by = F.col(sort).desc() if descending else F.col(sort).asc()
+    page = with_type_ids(corpus, table).orderBy(by, F.desc("g2"), (F.col("count_a") + F.col("count_b")).desc(), "type_id").offset(offset).limit(limit)
+    return page.crossJoin(F.broadcast(total))
+
+
+def compare_sides(corpus: Corpus, doc_ids: list, rest: bool = True, others: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """Side a: the named documents; side b: all others, or with ``rest`` off the named ``others``. Both must have documents and share none."""
+    docs = corpus.docs.select("doc_id")
+    a = docs.filter(F.col("doc_id").isin(doc_ids))
+    b = docs.filter(~F.col("doc_id").isin(doc_ids)) if rest else docs.filter(F.col("doc_id").isin(others or []))
+    if not a.limit(1).count() or not b.limit(1).count() or not rest and set(doc_ids) & set(others or []):
+        raise ValueError("both sides need documents, and none in common")
+    return a, b
 
 
 def units(corpus: Corpus, unit: str = "sent_id", runs: DataFrame | None = None) -> DataFrame:
@@ -186,10 +226,10 @@ def inventory_totals(corpus: Corpus, runs: DataFrame | None = None, expected: Da
         F.coalesce(F.sum("chars"), F.lit(0)).alias("readability_characters"), F.coalesce(F.sum("letters"), F.lit(0)).alias("readability_letters"),
     )
     extent = selected_tokens(corpus, runs).groupBy("doc_id", "r_start").agg((F.max("char_end") - F.min("char_start")).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("chars"))
-    small = docs.agg(F.count("*").alias("documents")).crossJoin((expected or corpus.documents).join(corpus.docs, "doc_id", "left_anti").agg(F.count("*").alias("missing")))
+    small = docs.agg(F.count("*").alias("documents")).crossJoin(F.broadcast((expected or corpus.documents).join(corpus.docs, "doc_id", "left_anti").agg(F.count("*").alias("missing"))))
     for name, unit in (("sentences", "sent_id"), ("paragraphs", "para_id")):
-        small = small.crossJoin(units(corpus, unit, runs).agg(F.count("*").alias(name)))
-    return small.crossJoin(one).crossJoin(extent).withColumn("numeral", F.col("tokens") - F.col("lexical"))
+        small = small.crossJoin(F.broadcast(units(corpus, unit, runs).agg(F.count("*").alias(name))))
+    return small.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(extent)).withColumn("numeral", F.col("tokens") - F.col("lexical"))
 
 
 def rhythm(corpus: Corpus, bins: int, runs: DataFrame | None = None) -> DataFrame:
@@ -208,15 +248,27 @@ def rhythm(corpus: Corpus, bins: int, runs: DataFrame | None = None) -> DataFram
     return out.select("doc_id", "bin", (F.col("bin") * F.col("width")).alias("bin_start"), "bin_tokens", "sentences", "mean", "median")
 
 
-def mtld(corpus: Corpus) -> DataFrame:
-    """doc_id and mtld, a fold over each document's keys in order, both ways."""
-    keys = corpus.tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("z")).select("doc_id", F.col("z.key").alias("keys"))
+def _mtld_way(keys: Column, threshold: float) -> Column:
+    """Tokens for each factor of one way through ``keys``: a fold that begins anew where the type-token ratio falls to the threshold."""
+    none = F.array().cast("array<string>")
 
-    @F.pandas_udf("double")
-    def fold(col):
-        return col.map(lambda k: stats.mtld_of(list(k)))
+    def add(acc: Column, key: Column) -> Column:
+        known = F.array_contains(acc["seen"], key)
+        n = acc["n"] + 1
+        ratio = (F.size(acc["seen"]) + F.when(known, 0).otherwise(1)) / n
+        full = ratio <= threshold
+        seen = F.when(full, none).when(known, acc["seen"]).otherwise(F.concat(acc["seen"], F.array(key)))
+        return F.struct(seen.alias("seen"), F.when(full, 0).otherwise(n).alias("n"), (acc["factors"] + F.when(full, 1.0).otherwise(0.0)).alias("factors"), F.when(full, 1.0).otherwise(ratio).alias("ratio"))
 
-    return keys.select("doc_id", fold("keys").alias("mtld"))
+    zero = F.struct(none.alias("seen"), F.lit(0).alias("n"), F.lit(0.0).alias("factors"), F.lit(1.0).alias("ratio"))
+    factors = F.aggregate(keys, zero, add, lambda acc: acc["factors"] + (1 - acc["ratio"]) / (1 - threshold))
+    return F.when(factors > 0, F.size(keys) / factors).otherwise(F.size(keys).cast("double"))
+
+
+def mtld(corpus: Corpus, threshold: float = 0.72) -> DataFrame:
+    """doc_id and mtld of documents with tokens: the mean of both ways through their keys in order."""
+    keys = corpus.tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("z")).select("doc_id", F.col("z.key").alias("keys"))
+    return keys.select("doc_id", ((_mtld_way(F.col("keys"), threshold) + _mtld_way(F.reverse("keys"), threshold)) / 2).alias("mtld"))
 
 
 def collocates(corpus: Corpus, node: str, min_both: int = 2) -> DataFrame:
@@ -225,7 +277,7 @@ def collocates(corpus: Corpus, node: str, min_both: int = 2) -> DataFrame:
     around = present.filter(F.col("word") == node.lower()).select("doc_id", "sent_id")
     both = present.join(around, ["doc_id", "sent_id"]).filter(F.col("word") != node.lower()).groupBy("word").agg(F.count("*").alias("together"))
     alone = present.groupBy("word").agg(F.count("*").alias("y"))
-    small = around.agg(F.count("*").alias("x")).crossJoin(corpus.tokens.select("doc_id", "sent_id").distinct().agg(F.count("*").alias("n")))
+    small = around.agg(F.count("*").alias("x")).crossJoin(F.broadcast(corpus.tokens.select("doc_id", "sent_id").distinct().agg(F.count("*").alias("n"))))
     scored = both.filter(F.col("together") >= min_both).join(alone, "word").crossJoin(F.broadcast(small))
     c = {k: F.col(k).cast("double") for k in ("together", "x", "y", "n")}
     return scored.select("word", "together", "x", "y", stats.log_dice(c["together"], c["x"], c["y"]).alias("log_dice"), stats.pmi(c["together"], c["x"], c["y"], c["n"]).alias("pmi"), stats.t_score(c["together"], c["x"], c["y"], c["n"]).alias("t"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bins import track_names
 from .corpus import Corpus
 
 #: Lower edges of the gap buckets. Fixed values.
@@ -20,19 +21,18 @@ WINDOW, RESULTS, PER_DOC = 400, 12, 8
 _SCALE, _COUNT_CAP, _MOST_WEIGHT = 65_536, 4_096, 16 * 65_536
 
 
-def nearest(occ: DataFrame, most_tracks: int = 5) -> DataFrame:
-    """For each occurrence and each other track: the gap to its nearest occurrence in the document and the direction.
+def nearest(occ: DataFrame, tracks: int, most_tracks: int = 5) -> DataFrame:
+    """For each occurrence and each other track of ``tracks``: the gap to its nearest occurrence in the document and the direction.
 
     A document's occurrences are sorted once. What lies before is known by the largest end of all smaller
     starts, which need not be the last one's.
     """
-    ids = [r.track for r in occ.select("track").distinct().orderBy("track").limit(most_tracks + 1).collect()]
-    if not 2 <= len(ids) <= most_tracks:
+    if not 2 <= tracks <= most_tracks:
         raise ValueError(f"2 to {most_tracks} tracks")
     end = F.col("pos") + F.col("span")
     before = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    peers = [F.struct(F.lit(p).alias("peer"), F.max(F.when(F.col("track") == p, end)).over(before).alias("prior"), F.min(F.when(F.col("track") == p, F.col("pos"))).over(after).alias("next")) for p in ids]
+    peers = [F.struct(F.lit(p).alias("peer"), F.max(F.when(F.col("track") == p, end)).over(before).alias("prior"), F.min(F.when(F.col("track") == p, F.col("pos"))).over(after).alias("next")) for p in range(tracks)]
     rows = occ.withColumn("peers", F.array(*peers)).select("track", "doc_id", "pos", end.alias("end"), F.explode("peers").alias("p")).select("track", "doc_id", "pos", "end", "p.*").filter("track <> peer")
     overlap = F.coalesce(F.col("prior") > F.col("pos"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
     back, ahead = F.col("pos") - F.col("prior"), F.col("next") - F.col("end")
@@ -41,32 +41,56 @@ def nearest(occ: DataFrame, most_tracks: int = 5) -> DataFrame:
     return rows.select("track", "peer", "doc_id", "pos", gap.alias("gap"), way.alias("way"))
 
 
-def company(occ: DataFrame) -> DataFrame:
-    """Per ordered pair of tracks and gap bucket (null: no peer in the document), the number of occurrences by direction."""
+_WAYS = ("forward", "backward", "tied", "overlap", "none")
+
+
+def company(occ: DataFrame, tracks: int) -> DataFrame:
+    """Per ordered pair of tracks and gap bucket (null: no peer in the document), the number of occurrences by direction.
+
+    A track that occurs nowhere has no rows of its own; others count it as ``none``.
+    """
     edge = F.lit(None).cast("int")
     for e in GAP_EDGES:
         edge = F.when(F.col("gap") >= e, F.lit(e)).otherwise(edge)
-    rows = nearest(occ).withColumn("bucket_edge", edge)
-    counts = [F.count_if(F.col("way") == w).alias(w) for w in ("forward", "backward", "tied", "overlap", "none")]
+    rows = nearest(occ, tracks).withColumn("bucket_edge", edge)
+    counts = [F.count_if(F.col("way") == w).alias(w) for w in _WAYS]
     return rows.groupBy("track", "peer", "bucket_edge").agg(F.count("*").alias("n"), *counts)
 
 
-def docs_with_both(occ: DataFrame) -> DataFrame:
-    """Per pair of tracks (track < peer), the documents that have both."""
+def _pairs(occ: DataFrame, tracks: int) -> DataFrame:
+    return occ.sparkSession.createDataFrame([(a, b) for a in range(tracks) for b in range(a + 1, tracks)], "track int, peer int")
+
+
+def docs_with_both(occ: DataFrame, tracks: int) -> DataFrame:
+    """Per pair of tracks (track < peer), the number of documents that have both."""
     docs = occ.select("track", "doc_id").distinct()
-    return docs.join(docs.withColumnRenamed("track", "peer"), "doc_id").filter("track < peer").groupBy("track", "peer").agg(F.count("*").alias("docs_with_both"))
+    both = docs.join(docs.withColumnRenamed("track", "peer"), "doc_id").filter("track < peer").groupBy("track", "peer").agg(F.count("*").alias("docs_with_both"))
+    return _pairs(occ, tracks).join(both, ["track", "peer"], "left").fillna(0, ["docs_with_both"])
 
 
-def company_coverage(occ: DataFrame) -> DataFrame:
+def company_pairs(occ: DataFrame, tracks: int) -> DataFrame:
+    """Every pair of tracks (track < peer) with docs_with_both and the directions of both ways: forward, backward,
+    tied, overlap and none of the track's occurrences, and the same with ``_back`` of the peer's."""
+    sums = company(occ, tracks).groupBy("track", "peer").agg(*[F.sum(w).alias(w) for w in _WAYS])
+    back = sums.select(F.col("peer").alias("track"), F.col("track").alias("peer"), *[F.col(w).alias(f"{w}_back") for w in _WAYS])
+    return docs_with_both(occ, tracks).join(sums, ["track", "peer"], "left").join(back, ["track", "peer"], "left").fillna(0)
+
+
+def company_tracks(corpus: Corpus, occ: DataFrame, tracks: int) -> DataFrame:
+    """Every track with its occurrences and the number of documents that have any."""
+    found = occ.groupBy("track", "doc_id").agg(F.count("*").alias("n")).groupBy("track").agg(F.sum("n").alias("total"), F.count("*").alias("doc_count"))
+    return track_names(corpus, tracks).join(found, "track", "left").fillna(0)
+
+
+def company_coverage(occ: DataFrame, tracks: int) -> DataFrame:
     """Pairs ranked by the smaller share of occurrences that have the other within 25 tokens; pairs that never meet go."""
-    near = nearest(occ).groupBy("track", "peer").agg((F.count_if(F.col("gap") < NEARBY) / F.count("*")).alias("coverage"))
+    near = nearest(occ, tracks).groupBy("track", "peer").agg((F.count_if(F.col("gap") < NEARBY) / F.count("*")).alias("coverage"))
     a, b = near.filter("track < peer"), near.filter("track > peer").select(F.col("peer").alias("track"), F.col("track").alias("peer"), F.col("coverage").alias("coverage_back"))
-    pairs = a.join(b, ["track", "peer"]).join(docs_with_both(occ), ["track", "peer"])
+    pairs = a.join(b, ["track", "peer"]).join(docs_with_both(occ, tracks).filter("docs_with_both > 0"), ["track", "peer"])
     return pairs.withColumn("mutual", F.least("coverage", "coverage_back"))
 
 
 _CANDIDATE = "doc_id {0}, start long, end long, anchor long, anchor_track int, score long, present int, total long, counts array<long>"
-_ORDER = ["score", "present", "total", "doc_ord", "start", "anchor", "anchor_track"]
 
 
 def _candidates(pdf: pd.DataFrame, weights: list[int], window: int, focus: tuple[int, int] | None, per_doc: int) -> list[tuple]:
@@ -99,18 +123,20 @@ def _candidates(pdf: pd.DataFrame, weights: list[int], window: int, focus: tuple
     return sorted(runs, key=lambda r: r[:6])[:per_doc]
 
 
-def destinations(corpus: Corpus, occ: DataFrame, window: int = WINDOW, focus: tuple[int, int] | None = None, results: int = RESULTS, per_doc: int = PER_DOC) -> DataFrame:
+def destinations(corpus: Corpus, occ: DataFrame, tracks: int, window: int = WINDOW, focus: tuple[int, int] | None = None, results: int = RESULTS, per_doc: int = PER_DOC) -> DataFrame:
     """Up to 12 windows worth reading: those that many tracks, rare ones above all, meet in.
 
     Candidates come from each document on its own. The list is filled depth by depth: only the best of each
     depth can enter it, and the driver sees no more of them than it has places for.
     """
-    totals = {r.track: r.n for r in occ.groupBy("track").agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return corpus.spark.createDataFrame([], f"rank int, {_CANDIDATE.format('long')}")
-    tracks = max(totals) + 1
-    if tracks > 5 or focus and not 0 <= focus[0] < focus[1] < tracks:
+    if not 1 <= tracks <= 5 or focus and not 0 <= focus[0] < focus[1] < tracks:
         raise ValueError("1 to 5 tracks, and a focus of two of them in order")
+    # Read twice below; kept from one document's candidates to the next request at most.
+    occ = occ.select("track", "doc_id", "pos").persist()
+    totals = {r.track: r.n for r in occ.groupBy("track").agg(F.count("*").alias("n")).collect()}
+    if not totals or focus and not (totals.get(focus[0]) and totals.get(focus[1])):
+        occ.unpersist()
+        return corpus.spark.createDataFrame([], f"rank int, {_CANDIDATE.format(corpus.docs.schema['doc_id'].dataType.simpleString())}")
     most = max(totals.values())
     weights = [min(_MOST_WEIGHT, _SCALE * most // max(totals.get(t, 0), 1)) for t in range(tracks)]
     schema = _CANDIDATE.format(corpus.docs.schema["doc_id"].dataType.simpleString())
@@ -127,6 +153,7 @@ def destinations(corpus: Corpus, occ: DataFrame, window: int = WINDOW, focus: tu
     # With a document for every place the first depth fills the list; else there are few documents.
     pool = ranked.filter("depth = 0").orderBy(*order).limit(results).collect() if active >= results else ranked.orderBy("depth", *order).collect()
     ranked.unpersist()
+    occ.unpersist()
     quota = min(per_doc, -(-results // max(1, min(active, 4))))
     taken: list = []
     for r in pool:

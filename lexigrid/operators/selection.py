@@ -58,3 +58,13 @@ def selected_tokens(corpus: Corpus, runs: DataFrame | None) -> DataFrame:
     t, r = corpus.tokens.alias("t"), runs.alias("r")
     inside = (F.col("t.doc_id") == F.col("r.doc_id")) & (F.col("pos") >= F.col("r_start")) & (F.col("pos") < F.col("r_end"))
     return t.join(r, inside).select("t.*", "r_start")
+
+
+def whole_corpus(corpus: Corpus, runs: DataFrame | None) -> None:
+    """ValueError unless ``runs`` (None: no selection) are all documents as a whole, which some analyses need."""
+    if runs is None:
+        return
+    held = merge_ranges(runs).alias("r")
+    lacking = corpus.docs.filter("token_count > 0").alias("d").join(held, (F.col("d.doc_id") == F.col("r.doc_id")) & (F.col("r_start") <= 0) & (F.col("r_end") >= F.col("token_count")), "left_anti")
+    if lacking.limit(1).count():
+        raise ValueError("this analysis needs the whole corpus")

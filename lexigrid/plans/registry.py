@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bins, counts, navigate, proximity, selection, terms
+from ..operators import bins, counts, navigate, proximity, quality, selection, terms
 from ..operators.corpus import NUMERAL, PARAGRAPH_BREAK, SENTENCE_BREAK, TOKEN, Corpus, open_corpus, tokenize
 from ..sources import files
 
@@ -74,6 +74,11 @@ def _occ(c: Corpus) -> DataFrame:
     return terms.tracks(c, [terms.group("the"), terms.group("of")])
 
 
+def _occ3(c: Corpus) -> DataFrame:
+    """The same two tracks and a third one that occurs nowhere."""
+    return terms.tracks(c, [terms.group("the"), terms.group("of"), terms.group("zzyzxq")])
+
+
 def _english(c: Corpus) -> tuple[DataFrame, DataFrame]:
     d = c.documents
     return d.filter("lang = 'en'").select("doc_id"), d.filter("lang <> 'en'").select("doc_id")
@@ -94,6 +99,10 @@ _register("selection_resolve", "SELECT * FROM runs UNION ALL SELECT doc_id, 0, t
 _register("selection_overlap", "SELECT doc_id FROM docs WHERE token_count >= 40")(lambda c: selection.overlaps(_runs(c), c.docs.select("doc_id", F.lit(39).cast("long").alias("r_start"), F.col("token_count").alias("r_end"))))
 _register("selection_commit", """SELECT doc_id, CASE WHEN doc_id = 3 THEN 7 ELSE 0 END::BIGINT AS r_start, CASE WHEN doc_id = 12 THEN least(5, token_count) ELSE token_count END::BIGINT AS r_end
 FROM docs WHERE doc_id BETWEEN 3 AND 12 AND token_count > 0""")(lambda c: selection.commit_range(c, 3, 7, 12, 4))
+_register("slot_map", "SELECT doc_id, ordinal, row_number() OVER (ORDER BY doc_id) - 1 AS slot FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents) WHERE lang = 'en'")(lambda c: bins.slot_map(c, _english(c)[0]))
+_register("token_violations", "SELECT doc_id, pos, ''::VARCHAR AS broken FROM tokens WHERE length(raw) <> char_end - char_start")(lambda c: quality.token_violations(c.tokens, c.documents))
+_register("snapshot_violations", "SELECT ''::VARCHAR AS what, 0::BIGINT AS rows FROM docs WHERE token_count < 0", )(lambda c: quality.snapshot_violations(c))
+_register("progress", "SELECT doc_id, pos, round((seq_base + pos + 1)::DOUBLE / (SELECT sum(token_count) FROM docs), 6) AS progress FROM occ JOIN docs USING (doc_id) WHERE track = 1")(lambda c: navigate.progress(c, _occ(c).filter("track = 1").select("doc_id", "pos")))
 _register("missing_documents", "SELECT doc_id FROM documents WHERE lang <> 'en'")(lambda c: selection.missing(c.documents, _english(c)[0]))
 
 
@@ -110,12 +119,11 @@ SELECT doc_id, para_id, min(pos) AS first, count(*) AS length FROM tokens GROUP
 
 # ---- counts ----------------------------------------------------------------------------------------------------------
 
-_FREQ = """, c AS (SELECT doc_id, key, cls, n FROM doc_terms), size AS (SELECT docs.doc_id, coalesce(sum(n), 0) AS size FROM docs LEFT JOIN c USING (doc_id) GROUP BY 1),
-tot AS (SELECT sum(size) AS total, count(*) FILTER (size > 0) AS parts, min(size) AS least FROM size),
-term AS (SELECT key, cls, sum(n)::BIGINT AS count, count(*) AS doc_freq, any_value(t) AS t FROM (SELECT *, sum(n) OVER (PARTITION BY key) AS t FROM c) GROUP BY ALL),
-moved AS (SELECT c.key, sum(abs(c.n::DOUBLE / term.t - size::DOUBLE / total) - size::DOUBLE / total) AS m FROM c JOIN term USING (key) JOIN size USING (doc_id), tot GROUP BY 1),
+_FREQ = """, c AS (SELECT doc_id, key, cls, n, sum(n) OVER (PARTITION BY key) AS t, sum(n) OVER (PARTITION BY doc_id) AS size FROM doc_terms),
+tot AS (SELECT sum(size) AS total, count(*) FILTER (size > 0) AS parts, min(size) AS least FROM (SELECT token_count AS size FROM docs)),
 freq AS (SELECT key, cls, count, doc_freq, round(count * 10000.0 / total, 6) AS rate_per_10k, round(greatest(0, least(1, 0.5 * (1 + m))), 6) AS dp,
-  round(greatest(0, least(1, 0.5 * (1 + m))) / (1 - least::DOUBLE / total), 6) AS dp_norm FROM term JOIN moved USING (key), tot)
+  round(greatest(0, least(1, 0.5 * (1 + m))) / (1 - least::DOUBLE / total), 6) AS dp_norm
+  FROM (SELECT key, cls, sum(n)::BIGINT AS count, count(*) AS doc_freq, sum(abs(n::DOUBLE / t - size::DOUBLE / total) - size::DOUBLE / total) AS m, any_value(total) AS total, any_value(least) AS least FROM c, tot GROUP BY ALL))
 """
 _register("freq_list", _FREQ + "SELECT * FROM freq")(lambda c: counts.frequency_table(c))
 _register("freq_page", _FREQ + "SELECT freq.*, type_id FROM freq JOIN types USING (key) ORDER BY count DESC, type_id LIMIT 50 OFFSET 10")(lambda c: counts.frequency_page(c, offset=10))
@@ -141,6 +149,10 @@ keyness AS (SELECT key, cls, count_a, count_b, range_a, range_b, round(a / n1 *
 _KEYNESS_OUT = "SELECT key, cls, count_a, count_b, rate_a, rate_b, round(lr, 6) AS log_ratio, round(lr - w, 6) AS lr_low, round(lr + w, 6) AS lr_high, round(g, 6) AS g2, range_a, range_b, dp_a, dp_b FROM keyness"
 _register("keyness", _KEYNESS + _KEYNESS_OUT)(lambda c: counts.keyness_table(c, *_english(c)))
 _register("keyness_side", _KEYNESS + _KEYNESS_OUT + " WHERE lr > 0 AND count_a + count_b >= 5 AND range_a + range_b >= 3")(lambda c: counts.keyness_table(c, *_english(c), min_count=5, min_docs=3, side="a"))
+_register("keyness_page", _KEYNESS + """, kp AS (SELECT keyness.*, type_id, count(*) OVER () AS total FROM keyness JOIN types USING (key))
+SELECT key, cls, count_a, count_b, round(lr, 6) AS log_ratio, round(g, 6) AS g2, type_id, total FROM kp ORDER BY lr DESC, g DESC, count_a + count_b DESC, type_id LIMIT 40 OFFSET 20""")(
+    lambda c: counts.keyness_page(c, *_english(c), sort="log_ratio", offset=20, limit=40).select("key", "cls", "count_a", "count_b", "log_ratio", "g2", "type_id", "total")
+)
 _register("keyness_divergence", _KEYNESS + """SELECT round(sum(0.5 * (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)), 6) AS bits, count(*) AS types
 FROM (SELECT a / n1 AS p, b / n2 AS q FROM v)""")(lambda c: counts.divergence(c, *_english(c)))
 
@@ -181,14 +193,15 @@ SELECT side, tokens, types, sentences, paragraphs, round(mattr, 6) AS mattr, rou
 
 _plain = lambda d: d.select("doc_id", "pos", "span", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 _one = "SELECT doc_id, pos, 1 AS span, '0' AS members FROM tokens WHERE "
-_PHRASE = ", ph AS (SELECT a.doc_id, a.pos FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.f = 'of' AND b.f = 'the' AND a.sent_id = b.sent_id)"
+_PHRASE = """, nb AS (SELECT doc_id, pos, f, lead(f) OVER w AS f1, lag(f) OVER w AS f0, lead(sent_id) OVER w = sent_id AS same1, lag(sent_id) OVER w = sent_id AS same0 FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ph AS (SELECT doc_id, pos FROM nb WHERE f = 'of' AND f1 = 'the' AND same1)"""
 _register("match_token", _one + "f = 'the'")(lambda c: _plain(terms.occurrences(c, terms.group("the"))))
 _register("match_exact", _one + "key = 'The'")(lambda c: _plain(terms.occurrences(c, terms.group("The", exact=True))))
 _register("match_prefix", _one + "starts_with(f, 'th')")(lambda c: _plain(terms.occurrences(c, terms.group("th*"))))
 _register("match_suffix", _one + "ends_with(f, 'tion')")(lambda c: _plain(terms.occurrences(c, terms.group("*tion"))))
 _register("match_phrase", _PHRASE + " SELECT doc_id, pos, 2 AS span, '0' AS members FROM ph")(lambda c: _plain(terms.occurrences(c, terms.group("of the"))))
 _register("match_ranged", _PHRASE + " SELECT doc_id, pos, 2 AS span, '0' AS members FROM ph JOIN runs USING (doc_id) WHERE pos >= r_start AND pos + 2 <= r_end")(lambda c: _plain(terms.occurrences(c, terms.group("of the"), _runs(c))))
-_register("match_union", _PHRASE + """ SELECT doc_id, pos, 2 AS span, '0,1' AS members FROM ph UNION ALL SELECT t.doc_id, t.pos, 1, '1' FROM tokens t ANTI JOIN (SELECT doc_id, pos + 1 AS pos FROM ph) q USING (doc_id, pos) WHERE f = 'the'""")(
+_register("match_union", _PHRASE + """ SELECT doc_id, pos, 2 AS span, '0,1' AS members FROM ph UNION ALL SELECT doc_id, pos, 1, '1' FROM nb WHERE f = 'the' AND NOT coalesce(f0 = 'of' AND same0, false)""")(
     lambda c: _plain(terms.occurrences(c, terms.group("of the", "the")))
 )
 _register("match_raw", _PHRASE + " SELECT doc_id, pos, 2 AS span, '0' AS members FROM ph UNION ALL SELECT doc_id, pos, 1, '1' FROM tokens WHERE f = 'the'")(lambda c: _plain(terms.occurrences(c, terms.group("of the", "the", count_overlaps=True))))
@@ -197,60 +210,70 @@ _TREND = """, sh AS (SELECT doc_id, token_count, seq_base, {width} AS width, {n}
 fr AS (SELECT *, bin * width AS bin_start, least(bin * width + width, token_count) AS bin_end FROM (SELECT *, unnest(range(n_bins)) AS bin FROM sh)),
 cn AS (SELECT track, doc_id, least(n_bins - 1, pos // width) AS bin, count(*) AS count FROM occ JOIN sh USING (doc_id) GROUP BY ALL),
 trend AS (SELECT track, fr.doc_id, fr.bin, bin_start, greatest(0, bin_end - bin_start) AS bin_tokens, coalesce(count, 0) AS count, seq_base, token_count AS doc_tokens
-  FROM fr CROSS JOIN (VALUES (0), (1)) tr(track) LEFT JOIN cn USING (track, doc_id, bin)), rated AS (SELECT *, CASE WHEN bin_tokens = 0 THEN 0 ELSE count * 10000.0 / bin_tokens END AS rate FROM trend)
+  FROM fr CROSS JOIN (VALUES (0), (1), (2)) tr(track) LEFT JOIN cn USING (track, doc_id, bin)), rated AS (SELECT *, CASE WHEN bin_tokens = 0 THEN 0 ELSE count * 10000.0 / bin_tokens END AS rate FROM trend)
 """
 _BINS = _TREND.format(width="ceil(token_count / 8.0)::BIGINT", n="8::BIGINT")
 _TREND_OUT = "SELECT track, doc_id, bin, bin_start, bin_tokens, count, round(rate, 6) AS rate_per_10k, seq_base, doc_tokens FROM rated"
-_register("trend_bins", _BINS + _TREND_OUT)(lambda c: bins.trend(c, _occ(c), bins=8))
-_register("trend_tokens", _TREND.format(width="250::BIGINT", n="ceil(token_count / 250.0)::BIGINT") + _TREND_OUT)(lambda c: bins.trend(c, _occ(c), width=250))
+_register("trend_bins", _BINS + _TREND_OUT)(lambda c: bins.trend(c, _occ3(c), 3, bins=8))
+_register("trend_tokens", _TREND.format(width="250::BIGINT", n="ceil(token_count / 250.0)::BIGINT") + _TREND_OUT)(lambda c: bins.trend(c, _occ3(c), 3, width=250))
 _register("trend_ranged", """, oc AS (SELECT o.* FROM occ o JOIN runs USING (doc_id) WHERE pos >= r_start AND pos < r_end), sh AS (SELECT doc_id, token_count, ceil(token_count / 8.0)::BIGINT AS width FROM docs WHERE token_count >= 40),
 fr AS (SELECT *, bin * width AS bin_start, least(bin * width + width, token_count) AS bin_end FROM (SELECT *, unnest(range(8)) AS bin FROM sh)),
 bt AS (SELECT fr.doc_id, bin, sum(greatest(0, least(bin_end, r_end) - greatest(bin_start, r_start)))::BIGINT AS bin_tokens FROM fr JOIN runs USING (doc_id) GROUP BY ALL),
 cn AS (SELECT track, doc_id, least(7, pos // width) AS bin, count(*) AS count FROM oc JOIN sh USING (doc_id) GROUP BY ALL)
-SELECT track, bt.doc_id, bt.bin, bin_tokens, coalesce(count, 0) AS count FROM bt CROSS JOIN (VALUES (0), (1)) tr(track) LEFT JOIN cn USING (track, doc_id, bin)""")(
-    lambda c: bins.trend(c, terms.tracks(c, [terms.group("the"), terms.group("of")], _runs(c)), bins=8, runs=_runs(c)).select("track", "doc_id", "bin", "bin_tokens", "count")
+SELECT track, bt.doc_id, bt.bin, bin_tokens, coalesce(count, 0) AS count FROM bt CROSS JOIN (VALUES (0), (1), (2)) tr(track) LEFT JOIN cn USING (track, doc_id, bin)""")(
+    lambda c: bins.trend(c, terms.tracks(c, [terms.group("the"), terms.group("of")], _runs(c)), 3, bins=8, runs=_runs(c)).select("track", "doc_id", "bin", "bin_tokens", "count")
 )
 _register("trend_smoothed", _BINS + """SELECT track, doc_id, bin, round(CASE WHEN bin_tokens > 0 THEN CASE WHEN count(*) FILTER (bin_tokens > 0) OVER w >= 3 THEN sum(rate * bin_tokens) OVER w / sum(bin_tokens) OVER w ELSE rate END END, 6) AS smoothed
-FROM rated WINDOW w AS (PARTITION BY track, doc_id ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")(lambda c: bins.smooth(bins.trend(c, _occ(c), bins=8), 5).select("track", "doc_id", "bin", "smoothed"))
-_register("book_totals", _BINS + "SELECT track, doc_id, sum(count)::BIGINT AS count, sum(bin_tokens)::BIGINT AS tokens, round(sum(count) * 10000.0 / sum(bin_tokens), 6) AS rate_per_10k FROM rated GROUP BY 1, 2")(lambda c: bins.book_totals(bins.trend(c, _occ(c), bins=8)))
+FROM rated WINDOW w AS (PARTITION BY track, doc_id ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")(lambda c: bins.smooth(bins.trend(c, _occ3(c), 3, bins=8), 5).select("track", "doc_id", "bin", "smoothed"))
+_register("book_totals", _BINS + "SELECT track, doc_id, sum(count)::BIGINT AS count, sum(bin_tokens)::BIGINT AS tokens, round(sum(count) * 10000.0 / sum(bin_tokens), 6) AS rate_per_10k FROM rated GROUP BY 1, 2")(lambda c: bins.book_totals(bins.trend(c, _occ3(c), 3, bins=8)))
 _register("catalog_totals", _BINS + "SELECT track, coalesce(doc_id, -1) AS doc_id, sum(count)::BIGINT AS count, sum(bin_tokens)::BIGINT AS tokens, round(sum(count) * 10000.0 / sum(bin_tokens), 6) AS rate_per_10k FROM rated GROUP BY GROUPING SETS ((track, doc_id), (track))")(
-    lambda c: bins.catalog_totals(bins.trend(c, _occ(c), bins=8)).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
+    lambda c: bins.catalog_totals(bins.trend(c, _occ3(c), 3, bins=8)).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")))
 )
-_register("range_compare", """, d AS (SELECT doc_id, token_count FROM docs WHERE token_count >= 40), t AS (SELECT sum(token_count) AS tokens FROM d), i AS (SELECT sum(r_end - r_start) AS tokens_in FROM runs),
-h AS (SELECT track, count(*) AS hits, count(r_start) AS hits_in FROM occ JOIN d USING (doc_id) LEFT JOIN runs ON runs.doc_id = occ.doc_id AND pos >= r_start AND pos < r_end GROUP BY 1)
-SELECT track, hits_in, tokens_in::BIGINT AS tokens_in, hits - hits_in AS hits_out, (tokens - tokens_in)::BIGINT AS tokens_out, round((hits_in::DOUBLE / tokens_in - (hits - hits_in)::DOUBLE / (tokens - tokens_in)) / (hits_in::DOUBLE / tokens_in + (hits - hits_in)::DOUBLE / (tokens - tokens_in)), 6) AS contrast,
-  round(hits::DOUBLE / tokens * least(tokens_in, tokens - tokens_in), 6) AS expected_min, hits::DOUBLE / tokens * least(tokens_in, tokens - tokens_in) >= 5 AS evidenced, NULL::VARCHAR AS undefined FROM h, t, i""")(lambda c: bins.range_compare(c, _occ(c), _runs(c)))
-_register("dispersion_exact", "SELECT * FROM occ")(lambda c: bins.dispersion_exact(_occ(c), None))
-_register("dispersion_density", """, b AS (SELECT track, doc_id, ((pos + 1) * 1 - 1) // token_count AS bucket FROM occ JOIN docs USING (doc_id)), n AS (SELECT track, doc_id, bucket, count(*) AS count FROM b GROUP BY ALL)
+_register("range_compare", """, t AS (SELECT sum(token_count) AS tokens FROM docs), i AS (SELECT sum(r_end - r_start) AS tokens_in FROM runs),
+h AS (SELECT track, count(occ.doc_id) AS hits, count(r_start) AS hits_in FROM (VALUES (0), (1), (2)) tr(track) LEFT JOIN occ USING (track) LEFT JOIN runs ON runs.doc_id = occ.doc_id AND pos >= r_start AND pos < r_end GROUP BY 1)
+SELECT track, hits_in, tokens_in::BIGINT AS tokens_in, hits - hits_in AS hits_out, (tokens - tokens_in)::BIGINT AS tokens_out,
+  CASE WHEN hits > 0 THEN round((hits_in::DOUBLE / tokens_in - (hits - hits_in)::DOUBLE / (tokens - tokens_in)) / (hits_in::DOUBLE / tokens_in + (hits - hits_in)::DOUBLE / (tokens - tokens_in)), 6) END AS contrast,
+  CASE WHEN hits > 0 THEN round(hits::DOUBLE / tokens * least(tokens_in, tokens - tokens_in), 6) END AS expected_min, CASE WHEN hits > 0 THEN hits::DOUBLE / tokens * least(tokens_in, tokens - tokens_in) >= 5 END AS evidenced,
+  CASE WHEN hits = 0 THEN 'no-occurrences' END AS undefined FROM h, t, i""")(lambda c: bins.range_compare(c, _occ3(c), 3, _runs(c)))
+_register("dispersion_exact", "SELECT * FROM occ WHERE track IN (SELECT track FROM occ GROUP BY 1 HAVING count(*) <= 50000)")(lambda c: bins.dispersion_exact(_occ(c)))
+_register("dispersion_density")(lambda c: bins.dispersion_density(c, _occ(c)))
+_register("dispersion_by_document", """, b AS (SELECT track, doc_id, ((pos + 1) * 1 - 1) // token_count AS bucket FROM occ JOIN docs USING (doc_id)), n AS (SELECT track, doc_id, bucket, count(*) AS count FROM b GROUP BY ALL)
 SELECT track, doc_id, bucket, 0::BIGINT AS bucket_start, count, round(count::DOUBLE / max(count) OVER (PARTITION BY track), 6) AS intensity FROM n""")(lambda c: bins.dispersion_density(c, _occ(c), budget=1))
 _NEAREST = """, nr AS (SELECT a.track, p.peer, a.doc_id, a.pos, max(b.pos + b.span) FILTER (b.pos < a.pos) AS prior, min(b.pos) FILTER (b.pos >= a.pos) AS next
-  FROM occ a CROSS JOIN (VALUES (0), (1)) p(peer) LEFT JOIN occ b ON b.track = p.peer AND b.doc_id = a.doc_id WHERE p.peer <> a.track GROUP BY ALL),
+  FROM occ a CROSS JOIN (VALUES (0), (1), (2)) p(peer) LEFT JOIN occ b ON b.track = p.peer AND b.doc_id = a.doc_id WHERE p.peer <> a.track GROUP BY ALL),
 g AS (SELECT *, coalesce(prior > pos, false) OR coalesce(next < pos + 1, false) AS over, pos - prior AS back, next - pos - 1 AS ahead FROM nr),
 w AS (SELECT track, peer, doc_id, pos, CASE WHEN over THEN 0 ELSE least(back, ahead) END AS gap, CASE WHEN over THEN 'overlap' WHEN back IS NULL AND ahead IS NULL THEN 'none' WHEN back = ahead THEN 'tied' WHEN ahead IS NULL OR back < ahead THEN 'backward' ELSE 'forward' END AS way FROM g),
 co AS (SELECT *, (SELECT max(e) FROM (VALUES (0), (1), (2), (3), (4), (5), (7), (10), (15), (25), (50), (100), (200)) x(e) WHERE e <= gap) AS bucket_edge FROM w)
 """
 _register("company", _NEAREST + """SELECT track, peer, coalesce(bucket_edge, -1) AS bucket_edge, count(*) AS n, count(*) FILTER (way = 'forward') AS forward, count(*) FILTER (way = 'backward') AS backward, count(*) FILTER (way = 'tied') AS tied,
-  count(*) FILTER (way = 'overlap') AS overlap, count(*) FILTER (way = 'none') AS "none" FROM co GROUP BY 1, 2, 3""")(lambda c: proximity.company(_occ(c)).withColumn("bucket_edge", F.coalesce("bucket_edge", F.lit(-1))))
-_register("company_docs", "SELECT 0 AS track, 1 AS peer, count(*) AS docs_with_both FROM (SELECT doc_id FROM occ GROUP BY 1 HAVING count(DISTINCT track) = 2)")(lambda c: proximity.docs_with_both(_occ(c)))
-_register("company_coverage", _NEAREST + """, cv AS (SELECT track, count(*) FILTER (gap < 25) * 1.0 / count(*) AS c FROM co GROUP BY 1)
+  count(*) FILTER (way = 'overlap') AS overlap, count(*) FILTER (way = 'none') AS "none" FROM co GROUP BY 1, 2, 3""")(lambda c: proximity.company(_occ3(c), 3).withColumn("bucket_edge", F.coalesce("bucket_edge", F.lit(-1))))
+_register("company_docs", "SELECT x.track, y.track AS peer, (SELECT count(*) FROM (SELECT doc_id FROM occ WHERE track IN (x.track, y.track) GROUP BY 1 HAVING count(DISTINCT track) = 2)) AS docs_with_both FROM (VALUES (0), (1), (2)) x(track), (VALUES (0), (1), (2)) y(track) WHERE x.track < y.track")(lambda c: proximity.docs_with_both(_occ3(c), 3))
+_register("company_tracks", "SELECT track, count(occ.doc_id) AS total, count(DISTINCT doc_id) AS doc_count FROM (VALUES (0), (1), (2)) tr(track) LEFT JOIN occ USING (track) GROUP BY 1")(lambda c: proximity.company_tracks(c, _occ3(c), 3))
+_register("company_pairs", _NEAREST + """, s AS (SELECT track, peer, count(*) FILTER (way = 'forward') AS forward, count(*) FILTER (way = 'backward') AS backward, count(*) FILTER (way = 'tied') AS tied, count(*) FILTER (way = 'overlap') AS overlap, count(*) FILTER (way = 'none') AS "none" FROM w GROUP BY 1, 2),
+pr AS (SELECT x.track, y.track AS peer FROM (VALUES (0), (1), (2)) x(track), (VALUES (0), (1), (2)) y(track) WHERE x.track < y.track), bo AS (SELECT count(*) AS n FROM (SELECT doc_id FROM occ GROUP BY 1 HAVING count(DISTINCT track) = 2))
+SELECT pr.track, pr.peer, CASE WHEN pr.peer = 1 THEN n ELSE 0 END AS docs_with_both, """ + ", ".join(f'coalesce(a."{w}", 0) AS "{w}", coalesce(b."{w}", 0) AS {w}_back' for w in ("forward", "backward", "tied", "overlap", "none")) + """
+FROM pr LEFT JOIN s a ON a.track = pr.track AND a.peer = pr.peer LEFT JOIN s b ON b.track = pr.peer AND b.peer = pr.track, bo""")(lambda c: proximity.company_pairs(_occ3(c), 3))
+_register("company_coverage", _NEAREST + """, cv AS (SELECT track, count(*) FILTER (gap < 25) * 1.0 / count(*) AS c FROM co WHERE peer < 2 GROUP BY 1)
 SELECT 0 AS track, 1 AS peer, round(a.c, 6) AS coverage, round(b.c, 6) AS coverage_back, (SELECT count(*) FROM (SELECT doc_id FROM occ GROUP BY 1 HAVING count(DISTINCT track) = 2)) AS docs_with_both, round(least(a.c, b.c), 6) AS mutual
-FROM cv a, cv b WHERE a.track = 0 AND b.track = 1""")(lambda c: proximity.company_coverage(_occ(c)))
-_register("destinations")(lambda c: proximity.destinations(c, _occ(c)).drop("counts"))
-_register("destination_snippets")(lambda c: proximity.snippets(c, proximity.destinations(c, _occ(c), focus=(0, 1))).drop("counts"))
+FROM cv a, cv b WHERE a.track = 0 AND b.track = 1""")(lambda c: proximity.company_coverage(_occ3(c), 3))
+_register("destinations")(lambda c: proximity.destinations(c, _occ(c), 2).drop("counts"))
+_register("destination_snippets")(lambda c: proximity.snippets(c, proximity.destinations(c, _occ(c), 2, focus=(0, 1))).drop("counts"))
 _RANKED = ", rk AS (SELECT track, doc_id, pos, span, seq_base + pos AS g, row_number() OVER (ORDER BY doc_id, pos, span, track) - 1 AS rank FROM occ JOIN docs USING (doc_id))"
 _register("matches_rank", _RANKED + " SELECT track, doc_id, pos, g AS \"global\", rank FROM rk")(lambda c: navigate.ranked(c, _occ(c)).select("track", "doc_id", "pos", "global", "rank"))
+_register("sparse_axis", _RANKED + """, rn AS (SELECT g, min(rank) AS rank FROM rk GROUP BY 1)
+SELECT rank, g AS "global" FROM rn WHERE rank % 128 = 0""")(lambda c: navigate.sparse_axis(c, _occ(c)))
 _register("matches_window", _RANKED + """, pg AS (SELECT * FROM rk WHERE rank BETWEEN 100 AND 149),
 ch AS (SELECT rank, track, pg.doc_id, pg.pos, span, min(char_start) AS c0, min(char_start) FILTER (t.pos = pg.pos) AS c1, max(char_end) FILTER (t.pos = pg.pos) AS c2, max(char_end) AS c3 FROM pg JOIN tokens t ON t.doc_id = pg.doc_id AND t.pos BETWEEN pg.pos - 10 AND pg.pos + 10 GROUP BY ALL)
-SELECT rank, track, doc_id, pos, span, substr(text, (c0 + 1)::BIGINT, c1 - c0) AS "left", substr(text, (c1 + 1)::BIGINT, c2 - c1) AS node, substr(text, (c2 + 1)::BIGINT, c3 - c2) AS "right" FROM ch JOIN documents USING (doc_id)""")(lambda c: navigate.matches_window(c, _occ(c), 100, 50))
-_register("matches_context_marks", _RANKED + """, pg AS (SELECT * FROM rk WHERE rank BETWEEN 100 AND 149) SELECT pg.rank, o.track AS other, o.doc_id, o.pos, o.span, CASE WHEN o.pos < pg.pos THEN 'left' ELSE 'right' END AS side
-FROM pg JOIN occ o ON o.doc_id = pg.doc_id AND o.track <> pg.track AND o.pos < pg.pos + 11 AND o.pos + 1 > pg.pos - 10""")(lambda c: navigate.context_marks(navigate.ranked(c, _occ(c)).filter("rank between 100 and 149").select("rank", "track", "doc_id", "pos", "span"), _occ(c), 10))
+SELECT rank, track, doc_id, pos, span, substr(text, (c0 + 1)::BIGINT, c1 - c0) AS "left", substr(text, (c1 + 1)::BIGINT, c2 - c1) AS node, substr(text, (c2 + 1)::BIGINT, c3 - c2) AS "right" FROM ch JOIN documents USING (doc_id)""")(lambda c: navigate.matches_window(c, _occ(c), 100, 50).drop("members"))
+_register("matches_context_marks", _RANKED + """, pg AS MATERIALIZED (SELECT * FROM rk WHERE rank BETWEEN 100 AND 149), oc AS MATERIALIZED (SELECT * FROM occ WHERE doc_id IN (SELECT doc_id FROM pg)) SELECT pg.rank, o.track AS other, o.doc_id, o.pos, o.span, CASE WHEN o.pos < pg.pos THEN 'left' ELSE 'right' END AS side
+FROM pg JOIN oc o ON o.doc_id = pg.doc_id AND o.track <> pg.track AND o.pos < pg.pos + 11 AND o.pos + 1 > pg.pos - 10""")(lambda c: navigate.context_marks(navigate.ranked(c, _occ(c)).filter("rank between 100 and 149").select("rank", "track", "doc_id", "pos", "span"), _occ(c), 10).drop("truncated"))
 _STEP = """, g AS (SELECT occ.*, seq_base + pos AS g FROM occ JOIN docs USING (doc_id)), h AS (SELECT seq_base + 3 AS h FROM docs WHERE doc_id = 5) SELECT doc_id, pos, max(span) AS span, min(track) AS track, false AS at_edge FROM g WHERE g = """
 _step = lambda way: lambda c: navigate.occurrence_step(c, _occ(c), 5, 3, way).drop("members")
 _register("occurrence_next", _STEP + "(SELECT min(g) FROM g, h WHERE g > h) GROUP BY 1, 2")(_step(1))
 _register("occurrence_previous", _STEP + "(SELECT max(g) FROM g, h WHERE g < h) GROUP BY 1, 2")(_step(-1))
 _register("reader_page", """, p AS (SELECT * FROM tokens WHERE doc_id = 7 AND pos >= 10 AND pos < 30) SELECT doc_id, 10::BIGINT AS start, max(pos) + 1 AS "end", substr(text, (min(char_start) + 1)::BIGINT, max(char_end) - min(char_start)) AS text, false AS at_start, max(pos) + 1 = any_value(token_count) AS at_end,
-CASE WHEN max(pos) + 1 < any_value(token_count) THEN 'tokens' END AS capped_by FROM p JOIN documents USING (doc_id) JOIN docs USING (doc_id) GROUP BY doc_id, text""")(lambda c: navigate.reader_page(c, 7, "from", 10, 20))
-_register("marks", "SELECT track, doc_id, pos AS t0, pos + 1 AS t1, char_start, char_end FROM occ JOIN tokens USING (doc_id, pos) WHERE doc_id = 7 AND pos < 200")(lambda c: navigate.marks(c, _occ(c), 7, 0, 200))
+CASE WHEN max(pos) + 1 < any_value(token_count) THEN 'tokens' END AS capped_by FROM p JOIN documents USING (doc_id) JOIN docs USING (doc_id) GROUP BY doc_id, text""")(lambda c: navigate.reader_page(c, 7, "from", 10, 20).drop("spans", "previous", "next"))
+_register("marks", "SELECT track, doc_id, pos AS t0, pos + 1 AS t1, char_start, char_end FROM occ JOIN tokens USING (doc_id, pos) WHERE doc_id = 7 AND pos < 200")(lambda c: navigate.marks(c, _occ(c), 7, 0, 200).drop("clipped_start", "clipped_end"))
 
 # ---- sources ---------------------------------------------------------------------------------------------------------
 
@@ -259,6 +282,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def _named():
+    """File names of pages: their addresses, most with a suffix, by length."""
+    suffix = F.element_at(F.array(*map(F.lit, (".HTML", ".md", ".TXT", ".epub", ".pdf", "", ""))), (F.length("url") % 7 + 1).cast("int"))
+    return F.concat("url", suffix)
+
+
 def _replaced(column: str) -> str:
     for pattern, new in files.HTML_LITE:
         column = f"regexp_replace({column}, '{_q(pattern)}', '{_q(new)}', 'g')"
@@ -267,8 +296,9 @@ def _replaced(column: str) -> str:
 
 _table("html_lite", lambda s, d: _pages(s, d).select("page_id", files.html_lite(F.col("html")).alias("text")), f"SELECT page_id, {_replaced('html')} AS text FROM pages")
 _table("html_text", lambda s, d: files.extract_html(_pages(s, d).select("page_id", "html")).select("page_id", "title", "extracted"), None)
-_table("source_format", lambda s, d: _pages(s, d).select("page_id", files.format_of(F.concat("url", F.lit(".HTML"))).alias("format"), files.strip_suffix(F.concat(F.lit("a.b"), F.lit(".Md"))).alias("stem")), "SELECT page_id, 'html' AS format, 'a.b' AS stem FROM pages")
+_table("source_format", lambda s, d: _pages(s, d).select("page_id", _named().alias("name")).select("page_id", files.format_of(F.col("name")).alias("format"), files.strip_suffix(F.col("name")).alias("stem")), """SELECT page_id, CASE WHEN regexp_matches(name, '(?i)\\.(html?|xhtml)$') THEN 'html' WHEN regexp_matches(name, '(?i)\\.(md|markdown)$') THEN 'md' WHEN regexp_matches(name, '(?i)\\.txt$') THEN 'txt' WHEN regexp_matches(name, '(?i)\\.epub$') THEN 'epub' END AS format,
+regexp_replace(name, '(?i)\\.(txt|markdown|md|epub|xhtml|html|htm)$', '') AS stem FROM (SELECT page_id, url || CASE WHEN length(url) % 7 < 5 THEN list_extract(['.HTML', '.md', '.TXT', '.epub', '.pdf'], (length(url) % 7 + 1)::INT) ELSE '' END AS name FROM pages)""")
 _table("source_decode", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", files.decode(F.encode("text", "UTF-8")).alias("text"), files.decode(F.concat(F.lit(bytearray(b"\xfe\xff")), F.encode("text", "UTF-16BE"))).alias("wide"), files.suspicious_controls(F.col("text")).cast("long").alias("controls")),
        "SELECT doc_id, text, text AS wide, len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]'))::BIGINT AS controls FROM documents")
-_table("library_keys", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("txt:"), F.sha2("text", 256)).alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "SELECT 'txt:' || sha256(text) AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+_table("library_keys", lambda s, d: files.library(s.read.parquet(f"{d}/documents.parquet").select(F.format_string("%012d.txt", "doc_id").alias("path"), F.encode("text", "UTF-8").alias("content"))).select("key", F.substring_index("path", ".", 1).cast("long").alias("doc_id")), "SELECT 'txt:' || sha256(text) AS key, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 _table("tsv_rows", lambda s, d: files.tsv_rows(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text")), "SELECT doc_id || chr(9) || lang || chr(9) || regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') AS line FROM documents")

@@ -7,7 +7,6 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
-from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -74,70 +73,155 @@ def html_lite(html: Column) -> Column:
     return html
 
 
+#: Elements whose content is no text, elements that stand apart, and elements without an end tag. Fixed values.
+SKIPPED = frozenset(("script", "style", "nav", "head", "template", "noscript"))
+BLOCKS = frozenset((
+    "address", "article", "aside", "blockquote", "caption", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header",
+    "hr", "li", "main", "ol", "p", "pre", "section", "table", "tbody", "tfoot", "thead", "tr", "ul",
+))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+#: Elements that belong into the head; any other one ends it. Fixed values.
+IN_HEAD = frozenset(("base", "link", "meta", "noscript", "script", "style", "template", "title", "head", "html"))
+#: Which open elements a start tag ends by itself (up to an element that holds such ones). Fixed values.
+ENDS = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
+    "tbody": ("tr", "td", "th", "tbody", "thead", "tfoot"), "thead": ("caption", "tbody"), "tfoot": ("tr", "td", "th", "tbody", "thead"),
+}
+HOLDERS = frozenset(("ul", "ol", "dl", "table", "select", "div", "section", "article", "body"))
+_HEADING = re.compile("h[1-6]")
+
+
 class _Walker(HTMLParser):
-    """Text of one page: blocks apart, hidden parts left out."""
+    """Text of one page by a stack of open elements: those that stand apart between empty lines, hidden ones left out.
 
-    SKIP = frozenset(("script", "style", "nav", "head", "template", "noscript"))
-    BLOCK = frozenset("address article aside blockquote dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main ol p pre section table tbody td tfoot th thead tr ul".split())
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+    ``head`` ends with its end tag, with ``body`` or with what cannot stand in it; an end tag that nothing
+    is open for is passed over. With ``strict`` (XHTML) references to notes and pages are hidden too, and
+    headings do not part the text.
+    """
 
-    def __init__(self):
+    def __init__(self, strict: bool = False):
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.hidden: list[str] = []
+        self.strict = strict
+        self.parts: list[list[str]] = [[]]
         self.title: str | None = None
+        self.page_title: str | None = None
+        self._open: list[tuple[str, bool]] = []
+        self._hidden = 0
+        self._headings = 0
         self._heading: list[str] | None = None
+        self._page_title: list[str] | None = None
+
+    def _push(self, text: str) -> None:
+        self.parts[-1].append(text)
+
+    def _close(self, depth: int) -> None:
+        """End the open elements from ``depth`` on, the innermost one first."""
+        while len(self._open) > depth:
+            tag, hides = self._open.pop()
+            self._hidden -= hides
+            if tag == "title" and self._page_title is not None:
+                self.page_title = self.page_title or " ".join("".join(self._page_title).split()) or None
+                self._page_title = None
+            if self._hidden or hides:
+                continue
+            if _HEADING.fullmatch(tag):
+                self._headings -= 1
+                if not self._headings and self._heading is not None:
+                    self.title, self._heading = " ".join("".join(self._heading).split()) or None, None
+            if tag in BLOCKS:
+                self._push("\n\n")
+
+    def _end_head(self) -> None:
+        for depth, (tag, _) in enumerate(self._open):
+            if tag == "head":
+                self._close(depth)
+                return
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
+        if tag in ("html", "body"):
+            return
+        for depth in range(len(self._open) - 1, -1, -1):
+            name = self._open[depth][0]
+            if tag in ENDS and name in ENDS[tag]:
+                self._close(depth)
+            elif tag in ENDS and name in HOLDERS:
+                break
+            elif tag in BLOCKS and name == "p" and not tag == "p" or tag == name == "p":
+                self._close(depth)
+                break
         a = dict(attrs)
-        if self.hidden:
-            if tag not in self.VOID and tag == self.hidden[0]:
-                self.hidden.append(tag)
+        kinds = (a.get("epub:type") or "").split()
+        hides = tag in SKIPPED or a.get("aria-hidden") == "true" or tag == "title"
+        if self.strict:
+            hides = hides or "doc-noteref" in (a.get("role") or "").split() or any(k in ("backlink", "noteref", "pagebreak") for k in kinds)
+        shown = not self._hidden and not hides
+        if shown and tag == "br":
+            self._push("\n")
+        elif shown and tag == "img":
+            self._push((a.get("alt") or "").strip())
+        elif shown and tag in BLOCKS:
+            if _HEADING.fullmatch(tag):
+                if not self._headings and not self.strict:
+                    self.parts.append([])
+                self._headings += tag not in VOID
+                if self.title is None and self._heading is None:
+                    self._heading = []
+            self._push("\n\n")
+        if tag in VOID:
             return
-        gone = tag in self.SKIP or a.get("aria-hidden") == "true" or a.get("role") == "doc-noteref" or (a.get("epub:type") or "") in ("backlink", "noteref", "pagebreak")
-        if gone:
-            if tag not in self.VOID:
-                self.hidden = [tag]
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag == "img":
-            self.out.append(a.get("alt") or "")
-        elif tag in self.BLOCK:
-            self.out.append("\n\n")
-            if re.fullmatch("h[1-6]", tag) and self.title is None:
-                self._heading = []
+        if tag == "title":
+            self._page_title = []
+        self._open.append((tag, hides))
+        self._hidden += hides
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if self.strict and tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.hidden:
-            if tag == self.hidden[0]:
-                self.hidden.pop()
-            return
-        if tag in self.BLOCK:
-            self.out.append("\n\n")
-        if self._heading is not None and re.fullmatch("h[1-6]", tag):
-            self.title, self._heading = " ".join("".join(self._heading).split()) or None, None
+        if tag == "br":  # counts as a line break of its own
+            self.handle_starttag(tag, [])
+        elif tag == "p" and not any(t == "p" for t, _ in self._open):
+            self.handle_starttag(tag, [])
+            self._close(len(self._open) - 1)
+        else:
+            for depth in range(len(self._open) - 1, -1, -1):
+                if self._open[depth][0] == tag:
+                    self._close(depth)
+                    break
 
     def handle_data(self, data):
-        if not self.hidden:
-            text = re.sub(r"[ \t\n\r\f]+", " ", data)
-            self.out.append(text)
+        if self._page_title is not None:
+            self._page_title.append(data)
+        if data.strip() and self._open and self._open[-1][0] == "head":
+            self._end_head()
+        if not self._hidden:
+            text = re.sub(r"[\t\r\n\f\v ]+", " ", data)
+            self._push(text)
             if self._heading is not None:
                 self._heading.append(text)
 
+    def close(self):
+        super().close()
+        self._close(0)
+
 
 def tidy(text: str) -> str:
     """Line ends alike, blanks single, nothing around line ends, at most one empty line."""
-    text = re.sub(r"[ \t\xa0]+", " ", text.replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", text)).strip()
+    text = re.sub(r"[\t\f\v ]+", " ", re.sub(r"\r\n?", "\n", text))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", text)).strip()
 
 
-def html_text(html: str) -> tuple[str, str | None]:
-    """Text and first heading (else the title) of a page."""
-    w = _Walker()
+def html_text(html: str, strict: bool = False) -> tuple[str, str | None]:
+    """Text and first heading (else the title) of a page: HTML, or XHTML if ``strict``."""
+    w = _Walker(strict)
     w.feed(html)
     w.close()
-    title = w.title or (m[1].strip() if (m := re.search(r"(?is)<title[^>]*>(.*?)</title>", html)) else None)
-    return tidy("".join(w.out)), unescape(title) if title else None
+    parts = [t for t in (tidy("".join(p)) for p in w.parts) if t]
+    return "\n\n".join(parts), w.title or w.page_title
 
 
 def extract_html(df: DataFrame, html: str = "html") -> DataFrame:
@@ -162,15 +246,17 @@ def parse_package(xml: bytes) -> dict:
     for m in meta.findall("o:meta", _NS):
         if m.get("refines"):
             refined[m.get("refines").lstrip("#"), m.get("property", "")] = (m.text or "").strip()
-    of = lambda tag: [(e.get("id", ""), (e.text or "").strip()) for e in meta.findall(f"dc:{tag}", _NS)]
-    titles = {refined.get((i, "title-type"), "main"): t for i, t in reversed(of("title"))}
+    of = lambda tag: [(e.get("id", ""), " ".join("".join(e.itertext()).split())) for e in meta.findall(f"dc:{tag}", _NS)]
+    named = [(refined.get((i, "title-type")), t) for i, t in of("title") if t]
+    titles = {kind: t for kind, t in reversed(named)}
+    title, subtitle = titles.get("main") or (named[0][1] if named else None), titles.get("subtitle")
     unique = root.get("unique-identifier")
     plain = {m.get("property"): (m.text or "").strip() for m in meta.findall("o:meta", _NS) if not m.get("refines")}
     return {
-        "identifier": next((t for i, t in of("identifier") if i == unique), None), "title": titles.get("main"), "subtitle": titles.get("subtitle"), "full_title": titles.get("extended"),
+        "identifier": next((t for i, t in of("identifier") if i == unique), None), "title": title, "subtitle": subtitle, "full_title": titles.get("expanded") or (f"{title}: {subtitle}" if subtitle else title),
         "authors": [t for _, t in of("creator")], "translators": [t for i, t in of("contributor") if refined.get((i, "role")) == "trl"],
         "contributors": [t for i, t in of("contributor") if refined.get((i, "role")) != "trl"], "language": next((t for _, t in of("language")), None), "subjects": [t for _, t in of("subject")],
-        "word_count": int(plain["se:word-count"]) if plain.get("se:word-count", "").isdigit() else None,
+        "word_count": int(plain["schema:wordCount"]) if plain.get("schema:wordCount", "").isdigit() else None,
         "collections": [((m.text or "").strip(), refined.get((m.get("id", ""), "group-position"))) for m in meta.findall("o:meta", _NS) if m.get("property") == "belongs-to-collection"],
     }
 
@@ -202,7 +288,7 @@ def read_epub(data: bytes, partitions: tuple[str, ...] = ("body",), most_bytes:
                 raise ValueError("a page lies outside the book")
             page = z.read(path).decode("utf-8")
             if _partition(page) in partitions:
-                texts.append(html_text(page)[0])
+                texts.append(html_text(page, strict=True)[0])
     return parse_package(xml), "\n\n".join(t for t in texts if t)
 
 
@@ -223,11 +309,54 @@ def extract_epubs(files: DataFrame, partitions: tuple[str, ...] = ("body",)) ->
     return files.select("path", "content").mapInPandas(run, "path string, title string, authors array<string>, language string, text string, error string")
 
 
+def library(files: DataFrame) -> DataFrame:
+    """Files (path, content) with their format, key (format and SHA-256) and decoded text (null for EPUB); one row for each
+    key, that of the smallest path. Files of other formats are left out."""
+    known = files.withColumn("format", format_of(F.col("path"))).filter("format is not null").withColumn("key", F.concat_ws(":", "format", F.sha2("content", 256)))
+    # The smallest path of a key leaves each task, without the content.
+    first = known.groupBy("key").agg(F.min("path").alias("path"))
+    kept = known.join(first.repartition("path"), ["key", "path"], "left_semi").dropDuplicates(["key"])
+    return kept.withColumn("text", F.when(F.col("format") != "epub", decode(F.col("content"))))
+
+
 def read_library(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` with their format, key (format and SHA-256, one row each) and decoded text (null for EPUB)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("format", format_of(F.col("path"))).filter("format is not null")
-    keyed = files.withColumn("key", F.concat_ws(":", "format", F.sha2("content", 256))).dropDuplicates(["key"])
-    return keyed.withColumn("text", F.when(F.col("format") != "epub", decode(F.col("content"))))
+    """The library of all files below ``path``."""
+    return library(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def well_formed(text: Column) -> Column:
+    """Whether a text is UTF-8 all through, without halves of surrogate pairs."""
+    return F.is_valid_utf8(text)
+
+
+#: What an extraction may be, per file. Null counts as none.
+MOST_SOURCE_BYTES, MOST_TEXT_CHARS = 256 << 20, 64 << 20
+
+
+def extract_files(files: DataFrame, most_bytes: int = MOST_SOURCE_BYTES, most_chars: int = MOST_TEXT_CHARS) -> DataFrame:
+    """Files (path, content) by what their format needs: path, format, title, text and ``rejected``.
+
+    TXT and MD are their decoded bytes, HTML and EPUB what is read in them. A file is rejected (with a null
+    text) for its format, its size before or its length after extraction, bytes that can't be decoded or a
+    damaged book; the reasons are UNSUPPORTED, TOO_LARGE, CAP_EXCEEDED, DECODE_FAILED and DAMAGED.
+    """
+    known = files.select("path", "content", format_of(F.col("path")).alias("format"))
+    none = F.lit(None).cast("string")
+    small = F.octet_length("content") <= most_bytes
+    bad = known.filter(F.col("format").isNull() | ~F.coalesce(small, F.lit(False)))
+    why = F.when(F.col("format").isNull(), "UNSUPPORTED").when(F.col("content").isNull(), "DECODE_FAILED").otherwise("TOO_LARGE")
+    refused = bad.select("path", "format", none.alias("title"), none.alias("text"), why.alias("rejected"))
+    good = known.filter(F.col("format").isNotNull() & F.coalesce(small, F.lit(False)))
+    decoded = good.filter("format <> 'epub'").select("path", "format", decode(F.col("content")).alias("text"))
+    failed = F.when(F.col("text").isNull(), "DECODE_FAILED")
+    plain = decoded.filter("format in ('txt', 'md')").select("path", "format", none.alias("title"), "text", failed.alias("rejected"))
+    pages = extract_html(decoded.filter("format = 'html'").withColumnRenamed("text", "html")).withColumnRenamed("extracted", "text")
+    pages = pages.select("path", "format", "title", "text", failed.alias("rejected"))
+    books = extract_epubs(good.filter("format = 'epub'")).select("path", F.lit("epub").alias("format"), "title", "text", F.when(F.col("error").isNotNull(), "DAMAGED").alias("rejected"))
+    every = plain.unionByName(pages).unionByName(books)
+    long = F.length("text") > most_chars
+    capped = every.withColumn("rejected", F.coalesce("rejected", F.when(long, "CAP_EXCEEDED"))).withColumn("text", F.when(F.col("rejected").isNull(), F.col("text")))
+    return capped.unionByName(refused)
 
 
 def delete_from_library(library: DataFrame, keys: DataFrame) -> DataFrame:
@@ -237,19 +366,23 @@ def delete_from_library(library: DataFrame, keys: DataFrame) -> DataFrame:
 def within_caps(docs: DataFrame, most_chars: int | None = None, most_total: int | None = None, text: str = "text", order: str = "doc_id") -> DataFrame:
     """``docs`` with ``admitted``: not longer than ``most_chars``, and in order as long as the total stays below ``most_total``.
 
-    A document that would cross the total is left out and smaller ones behind it may still fit, which is a
-    fold over lengths; it runs on the driver, and is meant for a project of few documents.
+    A document that would cross the total is left out and smaller ones behind it may still fit. That is a
+    fold over lengths, so one group of (``order``, length) pairs, without texts; it is meant for a project's
+    documents, not for a corpus.
     """
     size = F.length(text)
     ok = F.lit(True) if most_chars is None else size <= most_chars
     if most_total is None:
-        return docs.withColumn("admitted", ok)
-    total, taken = 0, []
-    for r in docs.filter(ok).select(order, size.alias("n")).orderBy(order).toLocalIterator():
-        if total + r.n <= most_total:
-            total += r.n
-            taken.append(r[0])
-    return docs.withColumn("admitted", F.col(order).isin(taken))
+        return docs.withColumn("admitted", F.coalesce(ok, F.lit(False)))
+    sizes = docs.filter(ok).select(F.col(order).alias("o_"), size.cast("long").alias("n"))
+    line = sizes.agg(F.array_sort(F.collect_list(F.struct("o_", "n"))).alias("z"))
+    fits = lambda acc, x: acc["total"] + x["n"] <= most_total
+    kind = docs.schema[order].dataType.simpleString()
+    zero = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(f"array<{kind}>").alias("taken"))
+    fold = F.aggregate("z", zero, lambda acc, x: F.when(fits(acc, x), F.struct((acc["total"] + x["n"]).alias("total"), F.concat(acc["taken"], F.array(x["o_"])).alias("taken"))).otherwise(acc), lambda acc: acc["taken"])
+    taken = line.select(F.explode(fold).alias("o_")).withColumn("t_", F.lit(True))
+    joined = docs.join(taken, docs[order] == taken["o_"], "left").withColumn("admitted", F.coalesce("t_", F.lit(False)) & F.coalesce(ok, F.lit(False)))
+    return joined.select(*docs.columns, "admitted")
 
 
 def catalog_view(books: DataFrame, series: DataFrame, query: str = "") -> tuple[DataFrame, DataFrame]:

@@ -88,18 +88,18 @@ def test_aliases():
 
 def test_trend(spark):
     c = corpus(spark, "wolf b c d wolf", "x wolf y")
-    rows = bins.trend(c, terms.tracks(c, [terms.group("wolf")]), bins=4).orderBy("doc_id", "bin").collect()
+    rows = bins.trend(c, terms.tracks(c, [terms.group("wolf")]), 1, bins=4).orderBy("doc_id", "bin").collect()
     assert [r.bin_tokens for r in rows] == [2, 2, 1, 0, 1, 1, 1, 0]
     assert [r["count"] for r in rows] == [1, 0, 1, 0, 0, 1, 0, 0]
     d = corpus(spark, "wolf b c d wolf f", "x wolf y z")
     runs = spark.createDataFrame([(0, 0, 2), (0, 4, 6), (1, 1, 2)], "doc_id long, r_start long, r_end long")
-    rows = bins.trend(d, terms.tracks(d, [terms.group("wolf")], runs), bins=4, runs=runs).orderBy("doc_id", "bin").collect()
+    rows = bins.trend(d, terms.tracks(d, [terms.group("wolf")], runs), 1, bins=4, runs=runs).orderBy("doc_id", "bin").collect()
     assert [r.bin_tokens for r in rows] == [2, 0, 2, 0, 0, 1, 0, 0]
     assert [r["count"] for r in rows] == [1, 0, 1, 0, 0, 1, 0, 0]
     e = corpus(spark, " ".join(["w"] * 501))
-    assert [(r.bin_start, r.bin_tokens) for r in bins.trend(e, terms.tracks(e, [terms.group("w")]), width=250).orderBy("bin").collect()] == [(0, 250), (250, 250), (500, 1)]
+    assert [(r.bin_start, r.bin_tokens) for r in bins.trend(e, terms.tracks(e, [terms.group("w")]), 1, width=250).orderBy("bin").collect()] == [(0, 250), (250, 250), (500, 1)]
     with pytest.raises(ValueError):
-        bins.trend(e, e.tokens, bins=3)
+        bins.trend(e, e.tokens, 1, bins=3)
 
 
 def _occ(spark, rows):
@@ -109,14 +109,14 @@ def _occ(spark, rows):
 def test_company_fixture(spark):
     occ = _occ(spark, [(0, 0, 0, 2), (0, 0, 10, 1), (0, 1, 5, 1), (1, 0, 2, 1), (1, 0, 8, 4)])
     total = {}
-    for r in proximity.company(occ).collect():
+    for r in proximity.company(occ, 2).collect():
         for w in ("forward", "backward", "tied", "overlap", "none"):
             total[r.track, w] = total.get((r.track, w), 0) + r[w]
         total[r.track, r.bucket_edge] = r.n
     assert (total[0, 0], total[0, "none"], total[0, "forward"], total[0, "overlap"]) == (2, 1, 1, 1)
     assert (total[1, 0], total[1, "none"], total[1, "backward"], total[1, "overlap"]) == (2, 0, 1, 1)
-    assert proximity.docs_with_both(occ).first().docs_with_both == 1
-    near = proximity.nearest(_occ(spark, [(0, 0, 20, 1), (1, 0, 0, 10), (1, 0, 5, 1), (1, 0, 31, 1)])).filter("track = 0").first()
+    assert proximity.docs_with_both(occ, 2).first().docs_with_both == 1
+    near = proximity.nearest(_occ(spark, [(0, 0, 20, 1), (1, 0, 0, 10), (1, 0, 5, 1), (1, 0, 31, 1)]), 2).filter("track = 0").first()
     assert (near.gap, near.way) == (10, "tied")
 
 
@@ -124,7 +124,7 @@ def test_company_against_brute_force(spark):
     rng, rows = random.Random(1), []
     for d in range(12):
         rows += {(rng.randrange(3), d, rng.randrange(60), rng.randint(1, 6)) for _ in range(rng.randint(0, 14))}
-    got = {(r.track, r.peer, r.doc_id, r.pos, r.way, r.gap) for r in proximity.nearest(_occ(spark, rows)).collect()}
+    got = {(r.track, r.peer, r.doc_id, r.pos, r.way, r.gap) for r in proximity.nearest(_occ(spark, rows), 3).collect()}
     want = set()
     for t, d, p, s in rows:
         for peer in range(3):
@@ -141,10 +141,10 @@ def test_company_against_brute_force(spark):
 
 def test_destinations(spark):
     c = corpus(spark, " ".join(["w"] * 300))
-    r = proximity.destinations(c, _occ(spark, [(0, 0, p, 1) for p in (10, 20, 30, 40)])).collect()
+    r = proximity.destinations(c, _occ(spark, [(0, 0, p, 1) for p in (10, 20, 30, 40)]), 1).collect()
     assert [(x.score, x.counts, x.start, x.end) for x in r] == [(33_554_432, [4], 0, 300)]
     far = corpus(spark, " ".join(["w"] * 3000))
-    assert proximity.destinations(far, _occ(spark, [(0, 0, 100, 1), (1, 0, 2800, 1)]), focus=(0, 1)).count() == 0
+    assert proximity.destinations(far, _occ(spark, [(0, 0, 100, 1), (1, 0, 2800, 1)]), 2, focus=(0, 1)).count() == 0
 
 
 def test_keyness(spark):
@@ -182,3 +182,151 @@ def test_steps_pages_and_buckets(spark):
     assert sorted((r.r_start, r.r_end) for r in merged.collect()) == [(0, 5), (7, 10)]
     with pytest.raises(ValueError):
         selection.resolve(c, ranges=spark.createDataFrame([(0, 5, 50)], "doc_id long, r_start long, r_end long"))
+
+
+def test_tracks_that_occur_nowhere(spark):
+    c = corpus(spark, "wolf b c d wolf", "x wolf y", "none here at all")
+    occ = terms.tracks(c, [terms.group("wolf"), terms.group("zebra"), terms.group("b")])
+    rows = bins.trend(c, occ, 3, bins=4)
+    assert {(r.track, r.n) for r in rows.groupBy("track").agg(F.sum("count").alias("n")).collect()} == {(0, 3), (1, 0), (2, 1)}
+    assert bins.catalog_totals(rows).filter("track = 1").count() == 4
+    runs = spark.createDataFrame([(0, 0, 2)], "doc_id long, r_start long, r_end long")
+    got = {r.track: r for r in bins.range_compare(c, occ, 3, runs).collect()}
+    assert (got[1].undefined, got[1].contrast) == ("no-occurrences", None) and (got[0].hits_in, got[0].hits_out, got[0].tokens_out) == (1, 2, 10)
+    whole = c.docs.select("doc_id", F.lit(0).cast("long").alias("r_start"), F.col("token_count").alias("r_end"))
+    assert {r.undefined for r in bins.range_compare(c, occ, 3, whole).collect()} == {"whole-corpus"}
+    assert {r.undefined for r in bins.range_compare(c, occ, 3, whole.limit(0)).collect()} == {"empty-range"}
+    pairs = {(r.track, r.peer): r for r in proximity.company_pairs(occ, 3).collect()}
+    assert set(pairs) == {(0, 1), (0, 2), (1, 2)} and (pairs[0, 1].none, pairs[0, 1].none_back, pairs[0, 1].docs_with_both) == (3, 0, 0)
+    assert {(r.track, r.total, r.doc_count) for r in proximity.company_tracks(c, occ, 3).collect()} == {(0, 3, 2), (1, 0, 0), (2, 1, 1)}
+    assert proximity.destinations(c, occ, 3, focus=(0, 1)).count() == 0 and proximity.destinations(c, occ, 3, focus=(0, 2)).count() == 1
+    selection.whole_corpus(c, whole)
+    with pytest.raises(ValueError):
+        selection.whole_corpus(c, runs)
+
+
+def _plain_destinations(sizes, hits, window, focus, results=12, per_doc=8):
+    """By the definition: each anchor's window, the best of each run of anchors, then round by round over documents."""
+    from math import isqrt
+
+    tracks = len(hits[0])
+    totals = [sum(len(h[t]) for h in hits) for t in range(tracks)]
+    weight = [min(16 * 65536, 65536 * max(totals) // max(1, n)) for n in totals]
+    lists = []
+    for d, n in enumerate(sizes):
+        found = []
+        for a in sorted({p for h in hits[d] for p in h}):
+            begin = min(max(0, a - window // 2), max(0, n - window))
+            end = min(n, begin + window)
+            k = [sum(begin <= p < end for p in h) for h in hits[d]]
+            if focus and not (k[focus[0]] and k[focus[1]]):
+                continue
+            score = sum(x > 0 for x in k) * sum(w * isqrt(65536 * min(x, 4096)) for w, x in zip(weight, k, strict=True))
+            track = min((t for t in range(tracks) if a in hits[d][t]), key=lambda t: (-weight[t], t))
+            found.append((-score, -sum(x > 0 for x in k), -sum(k), begin, a, track, end, k))
+        runs, first, last = [], None, None
+        for f in found:
+            if first is None or f[4] - last >= window or f[4] - first > 4 * window:
+                runs.append([])
+                first = f[4]
+            last = f[4]
+            runs[-1].append(f)
+        lists.append(sorted(min(r, key=lambda f: f[:6]) for r in runs)[:per_doc])
+    active = sum(bool(x) for x in lists)
+    quota, taken = min(per_doc, -(-results // max(1, min(active, 4)))), []
+    for depth in range(per_doc):
+        level = [(x[depth][:3], d, x[depth]) for d, x in enumerate(lists) if len(x) > depth]
+        for _, d, f in sorted(level, key=lambda x: (*x[0], x[1], x[2][3:6])):
+            own = [t for t in taken if t[0] == d]
+            if len(taken) < results and len(own) < quota and not any(t[1] < f[6] and f[3] < t[2] for t in own):
+                taken.append((d, f[3], f[6], f[4], f[5], -f[0], f[7]))
+    return taken
+
+
+@pytest.mark.parametrize(("docs", "focus"), [(3, None), (3, (0, 2)), (20, None), (20, (1, 2))])
+def test_destinations_against_the_definition(spark, docs, focus):
+    rng = random.Random(docs)
+    sizes = [rng.randint(1, 900) for _ in range(docs)]
+    hits = [[sorted(rng.sample(range(n), min(n, rng.choice([0, 1, 3, 9])))) for _ in range(3)] for n in sizes]
+    c = corpus(spark, *[" ".join(["w"] * n) for n in sizes])
+    occ = _occ(spark, [(t, d, p, 1) for d, h in enumerate(hits) for t in range(3) for p in h[t]])
+    got = [(r.doc_id, r.start, r.end, r.anchor, r.anchor_track, r.score, list(r.counts)) for r in proximity.destinations(c, occ, 3, window=60, focus=focus).orderBy("rank").collect()]
+    assert got == _plain_destinations(sizes, hits, 60, focus)
+
+
+def test_mtld_against_the_scalar(spark):
+    from lexigrid.functions import stats
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[:k]) for _ in range(n)) for k, n in ((2, 50), (26, 400), (5, 1), (26, 26), (9, 300))] + [" ".join(f"w{i}" for i in range(30))]
+    got = {r.doc_id: r.mtld for r in counts.mtld(corpus(spark, *texts)).collect()}
+    assert got == {i: pytest.approx(stats.mtld_of(t.split())) for i, t in enumerate(texts)}
+
+
+def test_keyness_pages_and_sides(spark):
+    c = corpus(spark, "apple apple pear plum common common", "apple common common fig fig", "12 13")
+    a, b = counts.compare_sides(c, [0])
+    assert {r.doc_id for r in b.collect()} == {1, 2}
+    every = counts.keyness_page(c, a, b, limit=200).collect()
+    assert [r.key for r in every] == sorted((r.key for r in every), key=[r.key for r in every].index) and every[0].total == len(every)
+    parts = [r.key for k in range(0, len(every), 2) for r in counts.keyness_page(c, a, b, offset=k, limit=2).collect()]
+    assert parts == [r.key for r in every]
+    assert [r.count_b for r in counts.keyness_page(c, a, b, sort="count_b").collect()] == sorted((r.count_b for r in every), reverse=True)
+    with pytest.raises(ValueError):
+        counts.keyness_page(c, a, c.docs.filter("doc_id = 2").select("doc_id"), classes=("lexical",))
+    with pytest.raises(ValueError):
+        counts.compare_sides(c, [0], rest=False, others=[0, 1])
+
+
+def test_quality_and_identity(spark, tmp_path):
+    from lexigrid.operators import quality
+
+    c = corpus(spark, "One two. Three\n\nfour", "", "x's y")
+    assert quality.token_violations(c.tokens, c.documents).count() == 0 and quality.snapshot_violations(c).count() == 0
+    bad = c.tokens.withColumn("char_end", F.when(F.col("pos") == 1, F.col("char_end") + 100).otherwise(F.col("char_end"))).withColumn("cls", F.when(F.col("pos") == 2, "odd").otherwise(F.col("cls")))
+    assert {r.broken for r in quality.token_violations(bad, c.documents).collect()} >= {"beyond the text", "unknown class", "not the text", "spans overlap or are empty"}
+    assert quality.recipe_hash(spark) == quality.recipe_hash(spark) != quality.recipe_hash(spark, numerals=False)
+    g = terms.group
+    assert quality.group_identity(g("a", "b")) == quality.group_identity(g("a", "b")) != quality.group_identity(g("b", "a")) != quality.group_identity(g("b", "a", count_overlaps=True))
+    first = quality.token_table(c.documents, f"file://{tmp_path}")
+    assert first.count() == c.tokens.count() and quality.token_table(c.documents.limit(0), f"file://{tmp_path}").count() == first.count()
+
+
+def test_axis_windows_and_reader_marks(spark):
+    c = corpus(spark, " ".join(["w"] * 300), " ".join(["v"] * 50))
+    occ = _occ(spark, [(t, 0, p, 1) for p in range(0, 300, 2) for t in range(1 + (p % 20 == 0))] + [(0, 1, 49, 1)])
+    ranks = {}
+    for r in navigate.ranked(c, occ).collect():
+        ranks[r["global"]] = min(r["rank"], ranks.get(r["global"], r["rank"]))
+    want, last = [], -50
+    for g in sorted(ranks):
+        if ranks[g] - last >= 50:
+            want.append((ranks[g], g))
+            last = ranks[g]
+    assert sorted(tuple(r) for r in navigate.sparse_axis(c, occ, 50).collect()) == want
+    head, page = navigate.matches_at(c, occ, 1, 0, before=2, after=3, context=1)
+    assert head == {"total": 166, "anchor_rank": 165, "preceding": 164, "first": 163, "last": 165} and sorted(r["rank"] for r in page.collect()) == [163, 164, 165]
+    assert navigate.progress(c, spark.createDataFrame([(1, 49)], "doc_id long, pos long")).first().progress == 1
+    page = navigate.reader_page(c, 0, "from", 10, 4)
+    p = page.first()
+    assert (p.previous, p.next, [tuple(x) for x in p.spans]) == (10, 14, [(20, 21), (22, 23), (24, 25), (26, 27)])
+    wide = _occ(spark, [(0, 0, 9, 3), (1, 0, 13, 5), (0, 0, 11, 1)])
+    found, more = navigate.reader_marks(c, wide, page, 2)
+    assert more and [(r.t0, r.t1, r.clipped_start, r.clipped_end) for r in found.orderBy("char_start").collect()] == [(10, 12, True, False), (11, 12, False, False)]
+    assert navigate.collapse_marks("  a \n b  ", [(0, 3, 1), (3, 7, 2), (8, 9, 3)]) == ("a b", [(0, 1, 1), (1, 3, 2)])
+    assert navigate.mark_segments(5, [(0, 3, "x"), (2, 4, "y")]) == [(0, 2, ["x"]), (2, 3, ["x", "y"]), (3, 4, ["y"]), (4, 5, [])]
+
+
+def test_buckets_by_default_budget_against_the_definition(spark):
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 3000) for _ in range(9)]
+    c = corpus(spark, *[" ".join(["w"] * n) for n in sizes])
+    plan = {r.doc_id: r.buckets for r in bins.bucket_plan(c).collect()}
+    assert sum(plan.values()) == min(4096, sum(sizes)) and all(1 <= plan[d] <= n for d, n in enumerate(sizes))
+    occ = terms.tracks(c, [terms.group("w")])
+    got = {(r.doc_id, r.bucket): (r.bucket_start, r["count"]) for r in bins.dispersion_density(c, occ).collect()}
+    want = {}
+    for d, n in enumerate(sizes):
+        edges = [b * n // plan[d] for b in range(plan[d] + 1)]
+        want |= {(d, b): (edges[b], edges[b + 1] - edges[b]) for b in range(plan[d])}
+    assert got == want

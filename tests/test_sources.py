@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.operators.corpus import tokenize
@@ -22,6 +23,39 @@ def test_html():
     assert title == "Head" and text == "Head\n\nOne\ntwo & three\n\npic"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<html><head><title>T</title><body><p>Hello</p></body></html>", ("Hello", "T")), ("<head><title>Q</title><p>x", ("x", "Q")), ("<title>T</title><p>a<p>b<script>x</script>c", ("a\n\nbc", "T")),
+    ("<ul><li>a<li>b</ul>t<table><caption>C</caption><tr><td>1<td>2<tr><td>3</table>", ("a\n\nb\n\nt\n\nC\n\n12\n\n3", None)), ("<nav>n<b>x</nav>y</nav>z", ("yz", None)), ("<p role=doc-noteref>keep</p>", ("keep", None)),
+    ("<noscript>q</noscript></style>r", ("r", None)), ("<div aria-hidden=true>x<div>y</div>z</div>w", ("w", None)), ("<template><p>x</p></template>k", ("k", None)), ("<form>a<p>b</p></form>", ("a\n\nb", None)), ("", ("", None)), ("</p>x", ("x", None)),
+])
+def test_html_of_optional_and_stray_tags(page, want):
+    assert files.html_text(page) == want
+
+
+def test_xhtml_hides_references():
+    page = '<html><body><h1>A</h1><p>b<a epub:type="noteref" href="#n">1</a><a role="doc-noteref">2</a> c</p></body></html>'
+    assert files.html_text(page, strict=True)[0] == "A\n\nb c" and files.html_text(page)[0] == "A\n\nb12 c"
+
+
+def test_package_titles_and_word_count():
+    xml = """<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/" unique-identifier="u"><metadata><dc:identifier id="u">i</dc:identifier><dc:title id="a">Main</dc:title><dc:title id="b">Sub</dc:title>{0}
+    <meta property="title-type" refines="#a">main</meta><meta property="title-type" refines="#b">subtitle</meta><meta property="schema:wordCount">1200</meta></metadata></package>"""
+    full = '<dc:title id="c">Main, the Whole</dc:title><meta property="title-type" refines="#c">expanded</meta>'
+    a, b = files.parse_package(xml.format("").encode()), files.parse_package(xml.format(full).encode())
+    assert (a["title"], a["subtitle"], a["full_title"], a["word_count"]) == ("Main", "Sub", "Main: Sub", 1200) and b["full_title"] == "Main, the Whole"
+
+
+def test_extraction_by_format_with_rejects(spark):
+    rows = [("a.txt", b"plain"), ("b.MD", b"\x93x"), ("c.html", b"<h1>T</h1><p>x"), ("d.epub", _book()), ("e.epub", b"no"), ("f.pdf", b"x"), ("g.txt", b"\xff\xfea"), ("h.txt", b"y" * 200), ("i.txt", b"y" * 70), ("j.txt", None), ("k.txt", b"")]
+    df = spark.createDataFrame([(p, None if b is None else bytearray(b)) for p, b in rows], "path string, content binary")
+    got = {r.path: (r.text, r.rejected) for r in files.extract_files(df.filter("path <> 'd.epub'"), 100, 50).collect()}
+    assert got == {
+        "a.txt": ("plain", None), "b.MD": ("“x", None), "c.html": ("T\n\nx", None), "e.epub": (None, "DAMAGED"), "f.pdf": (None, "UNSUPPORTED"), "g.txt": (None, "DECODE_FAILED"),
+        "h.txt": (None, "TOO_LARGE"), "i.txt": (None, "CAP_EXCEEDED"), "j.txt": (None, "DECODE_FAILED"), "k.txt": ("", None),
+    }
+    assert files.extract_files(df.filter("path = 'd.epub'")).first().text == "Chapter\n\nText of Chapter."
+
+
 def _book() -> bytes:
     page = lambda kind, text: f'<html xmlns:epub="http://www.idpf.org/2007/ops"><body epub:type="{kind}"><h2>{text}</h2><p>Text of {text}.</p></body></html>'
     out = io.BytesIO()
