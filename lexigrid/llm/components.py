@@ -14,9 +14,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # A node's neighbours meet in a map-side minimum. The exchange by ``m`` keeps that aggregate out of the
+    # A node's neighbours meet in a map-side minimum. The exchange by a hash of u keeps that aggregate out of the
     # join's stage: only a join of two plain shuffles has the neighbours of a hub split by adaptive execution.
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("m")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(F.xxhash64("u"))
     near = both.join(least, "u")
     if large:
         out = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
