@@ -121,9 +121,6 @@ class Items:
         return hits, items
 
 
-_PARTS: dict[str, Items] = {}
-
-
 def _mark(df: DataFrame, items: Items, text: str, cols: tuple[str, str, str]) -> DataFrame:
     """Add to the running columns (number of words, hit intervals as packed numbers, items)."""
     shared = df.sparkSession.sparkContext.broadcast(items)
@@ -232,6 +229,7 @@ def remove_contamination(df: DataFrame, items: DataFrame, text: str = "text", mo
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items in every row of ``documents``; null texts have no words, repeated rows are rows like others."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = documents(spark, sf_dir).select("doc_id", "text")
     marked, (n_words, hits, named) = find_contamination(docs, items)

@@ -149,6 +149,7 @@ def compare_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every row of ``documents`` and likeness to its edited text and its neighbour; null texts count as empty, ties of doc_id stand in any order."""
     return compare_neighbours(documents(spark, sf_dir))
 
 

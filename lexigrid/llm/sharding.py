@@ -18,6 +18,8 @@ from .common import documents, text_or_empty
 
 #: Sub-buckets of a shard in which slots are counted side by side.
 SLOT_BUCKETS = 256
+#: Slots of a repeated row that are written out at a time.
+SLOT_RUN = 1 << 16
 
 
 def draw(key: Column, shard: int) -> Column:
@@ -46,8 +48,9 @@ def shard_records(df: DataFrame, key: str, text: str, weights: Sequence[float],
     without gaps in each shard) and grown_shard (with one more shard of the mean weight).
 
     Null texts count as empty. A null key is a key like others (all such rows share a shard). Repeated
-    rows are counted once before the shuffle and get consecutive slots, so no task ever holds the copies
-    of a hot row; other columns are not carried along, whatever their names. An empty table gives none.
+    rows are counted before the shuffle and get consecutive slots, so the copies of a hot row move as one
+    row; one task writes them out again, SLOT_RUN at a time. Other columns are not carried along, whatever
+    their names. An empty table gives none.
     """
     name = F.coalesce(F.col(key).cast("string"), F.lit("\x00null"))
     mean = sum(weights) / len(weights)
@@ -68,20 +71,23 @@ def shard_records(df: DataFrame, key: str, text: str, weights: Sequence[float],
     rows = keyed.groupBy("key", "name", "bytes", "text_crc32").agg(F.count("*").alias("copies"))
     shard = rendezvous(F.col("name"), weights)
     placed = rows.select("*", shard.alias("shard"), bucket)
-    # One more draw decides between the old shard and the new one.
+    # All draws again and one more, which alone can take a row away from its shard.
     grown = rendezvous(F.col("name"), [*weights, mean])
     within = Window.partitionBy("shard", "bucket").orderBy("name", "bytes", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     slotted = placed.withColumn("seen", F.coalesce(F.sum("copies").over(within), F.lit(0)))
     # starts has at most shards x buckets rows, whatever the size of the data.
     joined = slotted.join(F.broadcast(starts), ["shard", "bucket"])
     at = F.col("first") + F.col("seen")
-    return joined.select(
+    # No array is longer than SLOT_RUN, nor are there more than a SLOT_RUN-th of the copies.
+    runs = joined.select("*", at.alias("at"), F.explode(F.sequence(at, at + F.col("copies") - 1, F.lit(SLOT_RUN).cast("long"))).alias("run"))
+    slots = F.sequence("run", F.least(F.col("run") + SLOT_RUN, F.col("at") + F.col("copies")) - 1)
+    return runs.select(
         F.col("key").cast(kind).alias(key),
         (F.col("bytes") + 8).alias("size"),
         "text_crc32",
         F.lit("key").alias("law"),
         F.col("shard").cast(T.IntegerType()).alias("shard"),
-        F.explode(F.sequence(at, at + F.col("copies") - 1)).alias("slot"),
+        F.explode(slots).alias("slot"),
         grown.cast(T.IntegerType()).alias("grown_shard"),
     )
 

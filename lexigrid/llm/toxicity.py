@@ -299,6 +299,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text") -> tuple[Da
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every row of ``documents``; null and empty texts have that of a text without votes, repeated rows the same one."""
     docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored, score = score_documents(docs, fit(docs, labels))
     return scored.select(

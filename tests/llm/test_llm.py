@@ -420,3 +420,75 @@ def test_pipeline_stages_keep_columns_and_meet_awkward_rows(spark, docs, empty):
             now = now.cache()
     ids = [r.doc_id for r in now.collect()]
     assert {0, 3, 4, 5, 12} <= set(ids) and 1 not in ids and 2 not in ids
+
+
+def _plain_pipeline(docs, bench, scores):
+    """What the pipeline must give, step by step in plain Python, from texts by doc_id, item texts and toxicity scores."""
+    from tokenizers import Tokenizer
+
+    kept = {i: t for i, t in docs.items() if scores[i] < toxicity.THRESHOLD}
+    sets = {}
+    for i, t in kept.items():
+        w = alnum(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else None
+    root = {i: i for i in kept}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(i for i in kept if sets[i])
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    kept = {i: t for i, t in kept.items() if top(i) == i}
+    windows = set()
+    for t in bench:
+        w = alnum(t)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    cut = {}
+    for i, t in kept.items():
+        places = [m.span() for m in word.finditer(t or "")]
+        w = [low(t[a:b]) for a, b in places]
+        hit = sorted({k + j for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for j in range(n)})
+        if len(hit) > 0.5 * len(w):
+            continue
+        # Hit words that follow each other go with what is between them.
+        for k in reversed(range(len(hit))):
+            start, end = places[hit[k]]
+            joined = k + 1 < len(hit) and hit[k + 1] == hit[k] + 1
+            t = t[:start] + t[places[hit[k + 1]][0] if joined else end :]
+        cut[i] = t
+    t, out = Tokenizer.from_file(bpe.default_vocabulary()), set()
+    for i, text in cut.items():
+        spans = []
+        for r in secrets.RULES:
+            spans += [m.span() for m in re.finditer(r.pattern, text or "", re.A) if len(m[r.group]) >= r.least]
+        merged = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        for a, b in reversed(merged):
+            text = text[:a] + "[secret]" + text[b:]
+        e = t.encode(text or "", add_special_tokens=False).ids
+        out.add((i, len(e), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(t.decode(e, skip_special_tokens=False).encode()).hexdigest()))
+    return out
+
+
+def test_pipeline_equals_plain_python(spark):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    scored, score = toxicity.score_documents(table, toxicity.fit(table, spark.read.parquet(f"{SF}/labels.parquet")))
+    rows = scored.select("doc_id", "text", F.col(score).alias("s")).collect()
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = _plain_pipeline({r.doc_id: r.text for r in rows}, bench, {r.doc_id: r.s for r in rows})
+    got = corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
