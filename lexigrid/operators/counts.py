@@ -30,9 +30,9 @@ def _with_totals(counts: DataFrame, *by: str) -> DataFrame:
 
     The sums are added up before the shuffle. A window instead would bring all documents that have a very
     common word into one task; this join broadcasts the sums or, where they are too many, reads two plain
-    shuffles (hence the exchange by another column), whose hot keys adaptive execution splits.
+    shuffles (hence the exchange by a hash of the columns), whose hot keys adaptive execution splits.
     """
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("key_total")).repartition("key_total")
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("key_total")).repartition(F.xxhash64(*by))
     return counts.join(totals, list(by))
 
 
