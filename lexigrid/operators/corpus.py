@@ -1,7 +1,7 @@
 """The positional corpus: one row per token, and the small tables that follow from it.
 
 Tokens are runs of letters, marks, digits and underscores, joined over single apostrophes and points
-(profile ``regex-word-v1``). Sentence, paragraph and character places are running sums inside each text.
+(profile ``regex-word-v1``), or follow Unicode's word boundaries (``uax29-word-v1``). Sentence, paragraph and character places are running sums inside each text.
 Offsets are code points.
 """
 
@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +29,15 @@ SENTENCE_BREAK = r"[.!?…]+[\"'”’)\]]*\s"
 PARAGRAPH_BREAK = r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])[ \t]*(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])"
 
 
-def normal_key(raw: Column) -> Column:
-    """The vocabulary key of a token: typographic apostrophes are plain ones. Case stays."""
-    return F.regexp_replace(raw, "[’ʼ]", "'")
+def normal_keys(raw: pa.Array) -> pa.Array:
+    """The vocabulary keys of tokens: composed (NFC), with plain apostrophes for typographic ones. Case stays."""
+    wide = pc.invert(pc.string_is_ascii(raw))
+    if pc.any(wide).as_py():
+        # Each distinct one once, in Python: Arrow's own normalisation leaves decomposed text as it is.
+        some = raw.filter(wide).dictionary_encode()
+        keys = [unicodedata.normalize("NFC", x).replace("’", "'").replace("ʼ", "'") for x in some.dictionary.to_pylist()]
+        raw = pc.replace_with_mask(raw, wide, pa.array(keys, raw.type).take(some.indices))
+    return raw
 
 
 def strip_marks(text: str) -> str:
@@ -70,20 +77,54 @@ def _places(batches: Iterator[pa.RecordBatch], numerals: bool) -> Iterator[pa.Re
             numeral = np.asarray(pc.match_substring_regex(raw, NUMERAL), bool)
             columns = {
                 "doc_id": part.column("doc_id").take(pa.array(doc)), "pos": pos if numerals else inside(~numeral) - 1, "raw": raw,
-                "key": pc.replace_substring_regex(raw, "[’ʼ]", "'"), "cls": pc.if_else(pa.array(numeral), "numeral", "lexical"),
+                "key": normal_keys(raw), "cls": pc.if_else(pa.array(numeral), "numeral", "lexical"),
                 "char_start": end - size, "char_end": end, "sent_id": inside(sentence), "para_id": inside(paragraph),
             }
             out = pa.RecordBatch.from_pydict({c: x if isinstance(x, pa.Array | pa.ChunkedArray) else pa.array(x, pa.int64()) for c, x in columns.items()})
             yield out if numerals else out.filter(pa.array(~numeral))
 
 
-def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerals: bool = True) -> DataFrame:
+_WORDLIKE, _BOUNDARY = regex.compile(r"[\p{L}\p{N}]"), regex.compile(r"(?V1w)\b")
+
+
+def uax29_words(text: str) -> tuple[list[str], list[str]]:
+    """The stretches between Unicode's default word boundaries that have a letter or digit, and what stands before, between and behind them."""
+    edges = sorted({0, len(text), *(m.start() for m in _BOUNDARY.finditer(text))})
+    words, gaps, last = [], [], 0
+    for a, b in zip(edges, edges[1:], strict=False):
+        if _WORDLIKE.search(text, a, b):
+            words.append(text[a:b])
+            gaps.append(text[last:a])
+            last = b
+    return words, [*gaps, text[last:]]
+
+
+_CUT = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("tk", "sp")])
+
+
+@F.pandas_udf(_CUT)
+def _uax29(texts: pd.Series) -> pd.DataFrame:
+    cut = [uax29_words(t) if isinstance(t, str) else (None, None) for t in texts]
+    return pd.DataFrame({"tk": [c[0] for c in cut], "sp": [c[1] for c in cut]})
+
+
+#: How tokens are cut: by the pattern TOKEN, or by Unicode's default word boundaries.
+PROFILES = ("regex-word-v1", "uax29-word-v1")
+
+
+def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", numerals: bool = True, profile: str = PROFILES[0]) -> DataFrame:
     """doc_id, pos, raw, key, cls, char_start, char_end, sent_id, para_id of every token.
 
     Without ``numerals`` those tokens are dropped and positions counted without them. Null texts have none.
     A text is one row, so all places are counted inside it: nothing is moved or sorted.
     """
-    cut = docs.select(F.col(doc_id).alias("doc_id"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tk"), F.split(text, TOKEN, -1).alias("sp"))
+    if profile not in PROFILES:
+        raise ValueError(f"the profile is one of {', '.join(PROFILES)}")
+    if profile == PROFILES[0]:
+        parts = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tk"), F.split(text, TOKEN, -1).alias("sp")
+        cut = docs.select(F.col(doc_id).alias("doc_id"), *parts)
+    else:
+        cut = docs.select(F.col(doc_id).alias("doc_id"), _uax29(F.col(text)).alias("z")).select("doc_id", "z.tk", "z.sp")
     kind = cut.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, pos long, raw string, key string, cls string, char_start long, char_end long, sent_id long, para_id long"
     return cut.mapInArrow(lambda batches: _places(batches, numerals), schema)

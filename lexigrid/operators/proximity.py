@@ -188,3 +188,15 @@ def snippets(corpus: Corpus, found: DataFrame, tokens: int = 48, chars: int = 40
             yield pd.DataFrame(rows, columns=["rank", "snippet_start", "snippet_end", "snippet"])
 
     return found.join(texts.mapInPandas(grow, "rank int, snippet_start long, snippet_end long, snippet string"), "rank")
+
+
+def snippet_marks(found: DataFrame, occ: DataFrame, most: int = 16) -> DataFrame:
+    """Occurrences that reach into the excerpts of ``found`` (rows of ``snippets``), clipped to them, as token places
+    of the document: the first ``most`` of each in reading order, with ``truncated`` where there are more."""
+    # A dozen excerpts: the occurrences stay where they are.
+    f, o = F.broadcast(found.select("rank", F.col("doc_id").alias("d"), "snippet_start", "snippet_end")), occ
+    inside = (F.col("d") == F.col("doc_id")) & (F.col("pos") < F.col("snippet_end")) & (F.col("pos") + F.col("span") > F.col("snippet_start"))
+    clipped = o.join(f, inside).select("rank", "track", "doc_id", F.greatest("pos", "snippet_start").alias("t0"), F.least(F.col("pos") + F.col("span"), "snippet_end").alias("t1"))
+    w = Window.partitionBy("rank")
+    numbered = clipped.withColumns({"nth": F.row_number().over(w.orderBy("t0", "t1", "track")), "truncated": F.count("*").over(w) > most})
+    return numbered.filter(F.col("nth") <= most).drop("nth")

@@ -26,7 +26,7 @@ def _q(s: str) -> str:
 def _tokens_sql(source: str = "documents", doc_id: str = "doc_id") -> str:
     return f"""raw AS (SELECT {doc_id} AS doc_id, regexp_extract_all(text, '{_q(TOKEN)}') AS tk, string_split_regex(text, '{_q(TOKEN)}') AS sp FROM {source}),
 ex AS (SELECT doc_id, unnest(tk) AS raw, unnest(sp[1:len(tk)]) AS gap, unnest(range(len(tk))) AS pos FROM raw),
-tokens AS (SELECT doc_id, pos, raw, regexp_replace(raw, '[’ʼ]', '''', 'g') AS key, lower(strip_accents(regexp_replace(raw, '[’ʼ]', '''', 'g'))) AS f,
+tokens AS (SELECT doc_id, pos, raw, regexp_replace(nfc_normalize(raw), '[’ʼ]', '''', 'g') AS key, lower(strip_accents(regexp_replace(nfc_normalize(raw), '[’ʼ]', '''', 'g'))) AS f,
   CASE WHEN regexp_matches(raw, '{_q(NUMERAL)}') THEN 'numeral' ELSE 'lexical' END AS cls,
   (sum(length(gap) + length(raw)) OVER w - length(raw))::BIGINT AS char_start, (sum(length(gap) + length(raw)) OVER w)::BIGINT AS char_end,
   (sum((pos > 0 AND (regexp_matches(gap, '{_q(SENTENCE_BREAK)}') OR regexp_matches(gap, '{_q(PARAGRAPH_BREAK)}')))::INT) OVER w)::BIGINT AS sent_id,
@@ -90,6 +90,7 @@ _register("tokens", "SELECT doc_id, pos, raw, key, cls, char_start, char_end, se
 _register("tokens_without_numerals", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, key FROM tokens WHERE cls = 'lexical'")(
     lambda c: tokenize(c.documents, numerals=False).select("doc_id", "pos", "key")
 )
+_register("tokens_uax29")(lambda c: tokenize(c.documents, profile="uax29-word-v1").select("doc_id", "pos", "key", "cls", "char_start", "char_end"))
 _register("vocabulary", "SELECT key, cls, n, df, type_id FROM types")(lambda c: c.type_ids())
 _register("snapshot_docs", "SELECT doc_id, token_count, seq_base FROM docs")(lambda c: c.docs)
 _register("doc_terms", "SELECT doc_id, key, cls, n FROM doc_terms")(lambda c: counts.term_counts(c))
@@ -258,6 +259,7 @@ SELECT 0 AS track, 1 AS peer, round(a.c, 6) AS coverage, round(b.c, 6) AS covera
 FROM cv a, cv b WHERE a.track = 0 AND b.track = 1""")(lambda c: proximity.company_coverage(_occ3(c), 3))
 _register("destinations")(lambda c: proximity.destinations(c, _occ(c), 2).drop("counts"))
 _register("destination_snippets")(lambda c: proximity.snippets(c, proximity.destinations(c, _occ(c), 2, focus=(0, 1))).drop("counts"))
+_register("destination_marks")(lambda c: proximity.snippet_marks(proximity.snippets(c, proximity.destinations(c, _occ(c), 2)), _occ(c)))
 _RANKED = ", rk AS (SELECT track, doc_id, pos, span, seq_base + pos AS g, row_number() OVER (ORDER BY doc_id, pos, span, track) - 1 AS rank FROM occ JOIN docs USING (doc_id))"
 _register("matches_rank", _RANKED + " SELECT track, doc_id, pos, g AS \"global\", rank FROM rk")(lambda c: navigate.ranked(c, _occ(c)).select("track", "doc_id", "pos", "global", "rank"))
 _register("sparse_axis", _RANKED + """, rn AS (SELECT g, min(rank) AS rank FROM rk GROUP BY 1)

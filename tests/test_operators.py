@@ -330,3 +330,23 @@ def test_buckets_by_default_budget_against_the_definition(spark):
         edges = [b * n // plan[d] for b in range(plan[d] + 1)]
         want |= {(d, b): (edges[b], edges[b + 1] - edges[b]) for b in range(plan[d])}
     assert got == want
+
+
+def test_keys_are_composed_and_uax29_words(spark):
+    from lexigrid.operators.corpus import tokenize, uax29_words
+
+    assert uax29_words("can't 3,141.5 a.b.c x_y naïve日本 “q”") == (["can't", "3,141.5", "a.b.c", "x_y", "naïve", "日", "本", "q"], ["", " ", " ", " ", " ", "", "", " “", "”"])
+    docs = spark.createDataFrame([(0, "cafe\u0301’s CAFÉ's 12,5"), (1, None), (2, "")], "doc_id long, text string")
+    rows = tokenize(docs).orderBy("pos").collect()
+    assert [r.key for r in rows][:2] == ["café's", "CAFÉ's"] and rows[0].raw == "cafe\u0301’s" and (rows[1].char_start, rows[1].char_end) == (8, 14)
+    rows = tokenize(spark.createDataFrame([(0, "café’s 12,5 日本"), (1, None)], "doc_id long, text string"), profile="uax29-word-v1").orderBy("pos").collect()
+    assert [(r.key, r.cls, r.char_start) for r in rows] == [("café's", "lexical", 0), ("12,5", "numeral", 7), ("日", "lexical", 12), ("本", "lexical", 13)]
+
+
+def test_snippet_marks(spark):
+    c = corpus(spark, " ".join(["w"] * 300))
+    occ = _occ(spark, [(0, 0, p, 1) for p in range(90, 130)] + [(1, 0, 100, 3)])
+    found = proximity.snippets(c, proximity.destinations(c, occ, 2))
+    marks = proximity.snippet_marks(found, occ, 4).orderBy("rank", "t0", "track").collect()
+    s = found.filter("rank = 0").first()
+    assert all(s.snippet_start <= m.t0 < m.t1 <= s.snippet_end for m in marks if m["rank"] == 0) and len([m for m in marks if m["rank"] == 0]) == 4 and marks[0].truncated
