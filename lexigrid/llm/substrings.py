@@ -28,8 +28,8 @@ WINDOW = 13
 #: The longest block of which any window holds a whole one.
 ANCHOR = (WINDOW + 1) // 2
 _LAST = np.iinfo(np.int64).max
-#: Bytes of a window's second hash that travel with the first one's eight, and bytes of text for one range of keys or texts.
-MORE_BYTES, RANGE_BYTES = 6, 8 << 20
+#: Bytes of a window's first and second hash that travel (its range says more of the first one), and bytes of text for one range of keys or texts.
+KEY_BYTES, MORE_BYTES, RANGE_BYTES = 6, 5, 16 << 20
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -203,7 +203,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
 
     A word goes if a window of 13 words over it also starts in a row of smaller doc_id (a whole number).
     Null and empty texts have no words; texts below 13 words keep all. A null doc_id is larger than all
-    others; rows of equal doc_id don't take words from each other. Windows are compared by 112 bits of
+    others; rows of equal doc_id don't take words from each other. Windows are compared by 88 bits of
     hashes of all their words. Keys and texts are dealt to ranges, one for ``range_bytes`` of text or so.
     """
     spark = df.sparkSession
@@ -247,7 +247,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
         second = windows(replace(words, hashes=mix(words.hashes ^ _SECOND)), WINDOW)[0][at] & np.uint64((1 << 8 * MORE_BYTES) - 1)
         e = Entries(ranks[owner], tags[owner], (at - words.firsts[owner]).astype(np.uint32), key[at], second)
         # Repeated rows of one name would ask twice.
-        out = _ask(e, window_repeats, 8, parts)
+        out = _ask(e, window_repeats, KEY_BYTES, parts)
         open_ = np.zeros(len(docs), bool)
         open_[owner] = True
         rest = pd.DataFrame({"p": docs["p"], "rank": ranks, "tag": docs["tag"], "n_words": words.counts.astype(np.int64)})
@@ -265,7 +265,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     extended = materialise(placed.repartition(parts, "p").groupBy("p").cogroup(hits.repartition(parts, "p").groupBy("p")).applyInPandas(extend, mixed), "extended")
     release(spark)
     candidates = extended.filter("settled is not null").select("settled", "p", *_ROW)
-    repeats = candidates.repartition(parts, "p").groupBy("p").applyInPandas(lambda rows: _settle(rows, window_repeats, 8, parts), f"p int, {PACKED}")
+    repeats = candidates.repartition(parts, "p").groupBy("p").applyInPandas(lambda rows: _settle(rows, window_repeats, KEY_BYTES, parts), f"p int, {PACKED}")
 
     def cut(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         columns = ["rank", "n_words", "n_removed", "kept_sha256", "kept"]
