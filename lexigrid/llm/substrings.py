@@ -29,7 +29,7 @@ WINDOW = 13
 ANCHOR = (WINDOW + 1) // 2
 _LAST = np.iinfo(np.int64).max
 #: Bytes of a window's first and second hash that travel (its range says more of the first one), and bytes of text for one range of keys or texts.
-KEY_BYTES, MORE_BYTES, RANGE_BYTES = 6, 5, 16 << 20
+KEY_BYTES, MORE_BYTES, RANGE_BYTES = 6, 5, 8 << 20
 _SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
