@@ -1,8 +1,8 @@
 """Scoring of texts with a causal self-attention model that backs off, word by word, to corpus-wide word counts.
 
-One pass counts unit pairs of all training texts; the network is fitted on a share of them, in tasks
-whose parameters are averaged round by round;
-a second pass scores every text in overlapping windows and sends its words, packed, to ranges of the
+One pass counts words of all training texts, of which the frequent ones become units, one counts unit pairs; the
+network is fitted on all training texts too, in tasks whose parameters are averaged round by round;
+the last pass scores every text in overlapping windows and sends its words, packed, to ranges of the
 word hash, where the corpus counts are added up and each task's words are scored with them.
 """
 
@@ -24,11 +24,18 @@ from .common import documents, materialise, release, shuffle_partitions, size_of
 from .substrings import _from_planes, _planes
 from .words import SPACED, mix, split_words
 
-#: The network is fitted on all windows of one in FIT_ONE_IN training texts (by hash), of FIT_TEXTS where that
-#: is more; where they are few it sees them several times, FIT_SEEN in all if FIT_PASSES allow. Counts cover all texts.
-FIT_ONE_IN, FIT_TEXTS, FIT_SEEN, FIT_PASSES = 8, 4000, 160_000, 12
-#: Windows of one task between two averagings, and averagings in a pass.
-TASK_WINDOWS, FIT_SLICES = 12_000, 4
+#: The network sees every training text once; where these have few windows several times, FIT_SEEN in all if FIT_PASSES allow.
+FIT_SEEN, FIT_PASSES = 160_000, 12
+#: Windows of one task between two averagings, averagings in a pass, and windows of a text that travel together.
+TASK_WINDOWS, FIT_SLICES, ROW_WINDOWS = 24_000, 4, 512
+#: Rows of the table of pairs that are summed together.
+PAIR_ROWS = 16
+#: Rows that the parameters of a round are added up in.
+SUMS = 16
+#: Words of training texts that become units at most: those that occur twice or, where these are more, more often.
+WORDS = 1 << 15
+#: What ``fit_windows`` takes: one in FIT_ONE_IN texts, or FIT_TEXTS where that is more.
+FIT_ONE_IN, FIT_TEXTS = 8, 4000
 #: Share of the corpus-wide word counts in the probability of each word; the network has the rest.
 UNIGRAM_SHARE = 0.5
 #: Bytes of text for one range of words or so.
@@ -39,49 +46,108 @@ def training_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 != 2, F.lit(True))
 
 
-def count_pairs(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(before, unit, n) over all of ``docs`` (body), written to the shared folder; the pair -1, -1 has the number of words and ends."""
-    size = vocabulary.size
+def frequent_words(docs: DataFrame, most: int = WORDS) -> np.ndarray:
+    """Hashes of the words of ``docs`` (body) that occur ``least`` times or more, the smallest number from 2 on that ``most`` words reach at most."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, counts, words = attention.units(list(pdf["body"]), vocabulary)
-            before = np.empty_like(ids)
-            before[1:] = ids[:-1]
-            before[np.cumsum(counts) - counts] = END
-            code, n = np.unique(before.astype(np.int64) * size + ids, return_counts=True)
-            yield pd.DataFrame({"before": (code // size).astype(np.int32), "unit": (code % size).astype(np.int32), "n": n})
-            yield pd.DataFrame({"before": np.int32([-1]), "unit": np.int32([-1]), "n": [len(words.hashes) + len(pdf)]})
-
-    pairs = docs.mapInPandas(count, "before int, unit int, n long").groupBy("before", "unit").agg(F.sum("n").alias("n"))
-    return materialise(pairs, "unit-pairs")
+            names, n = np.unique(split_words(list(pdf["body"]), SPACED, True).hashes, return_counts=True)
+            yield pd.DataFrame({"word": names.view(np.int64), "n": n})
+
+    counted = materialise(docs.select("body").mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "word-counts")
+    # Numbers from 2**10 on by their two leading digits or so: a bounded number of rows.
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise((F.lit(960) + F.floor(F.log2("n") * 64) - 576).cast("long"))
+    levels = sorted(((r.level, r.words, r.least) for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()), reverse=True)
+    held, least = 0, None
+    for _, words, n in levels:
+        held += words
+        if held > most:
+            break
+        least = n
+    if least is None:
+        return np.empty(0, np.uint64)
+    return np.array([r.word for r in counted.filter(F.col("n") >= least).select("word").collect()], np.int64).view(np.uint64)
+
+
+def count_units(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int, int]:
+    """How often each unit id occurs in all of ``docs`` (body), the number of their words and ends, and of windows to train on."""
+    size = vocabulary.size
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n_words, n_windows = np.zeros(size, np.int64), 0, 0
+        for pdf in batches:
+            texts = list(pdf["body"])
+            for piece in attention.pieces(texts):
+                ids, counts, words = attention.units(texts[piece], vocabulary)
+                total += np.bincount(ids, minlength=size)
+                n_words += len(words.hashes) + len(counts)
+                n_windows += int((-(-counts // attention.WINDOW)).sum())
+        own = np.flatnonzero(total)
+        yield pd.DataFrame({"unit": np.concatenate([own, [-1, -2]]).astype(np.int32), "n": np.concatenate([total[own], [n_words, n_windows]])})
+
+    # As many rows as the vocabulary has units, and two.
+    found = docs.select("body").mapInPandas(count, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).toPandas()
+    totals = dict(zip(found["unit"], found["n"], strict=True))
+    found = found[found["unit"] >= 0]
+    counts = np.zeros(size, np.float64)
+    counts[found["unit"].to_numpy(np.int64)] = found["n"]
+    return counts, int(totals.get(-1, 0)), int(totals.get(-2, 0))
+
+
+def count_pairs(docs: DataFrame, vocabulary: Vocabulary, number: np.ndarray, size: int) -> np.ndarray:
+    """How often each unit number (``number`` of a unit id, below ``size``) follows each other in all of ``docs`` (body).
+
+    Each task adds up in one array, and arrays are summed by blocks of their rows.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, number))
 
-def fit_model(docs: DataFrame, vocabulary: Vocabulary) -> tuple[Attention, Tables, int]:
-    """Tables from all of ``docs`` (id, body), the network from a share of them, and the number of words and ends."""
-    spark = docs.sparkSession
-    counted = count_pairs(docs, vocabulary)
-    n_words = counted.filter("unit < 0").agg(F.sum("n")).first()[0] or 0
-    pairs = counted.filter("unit >= 0")
-    # As many rows as the vocabulary has units at most.
-    single = pairs.groupBy("unit").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "unit"], ascending=[False, True])
-    counts = np.zeros(vocabulary.size, np.float64)
-    counts[single["unit"].to_numpy(np.int64)] = single["n"]
-    top = np.array([END, *single["unit"][single["unit"] != END].head(attention.KNOWN - 1)], np.int64)
-    numbered = spark.createDataFrame([(int(u), k) for k, u in enumerate(top)], "unit int, number int")
-    other = F.lit(len(top))
-    known = pairs.join(F.broadcast(numbered.toDF("before", "b")), "before", "left").join(F.broadcast(numbered.toDF("unit", "u")), "unit", "left")
-    # KNOWN squared rows at most.
-    among = known.groupBy(F.coalesce("b", other).alias("b"), F.coalesce("u", other).alias("u")).agg(F.sum("n").alias("n")).toPandas()
-    among = among.sort_values(["b", "u"])
-    tables = attention.make_tables(among["b"].to_numpy(), among["u"].to_numpy(), among["n"].to_numpy(np.float32), top, counts)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, number = sent.value
+        total = np.zeros(size * size, np.uint32)
+        for pdf in batches:
+            texts = list(pdf["body"])
+            for piece in attention.pieces(texts):
+                ids, counts, _ = attention.units(texts[piece], vocabulary)
+                at = number[ids]
+                before = np.empty_like(at)
+                before[1:] = at[:-1]
+                before[np.cumsum(counts) - counts] = number[END]
+                code, n = np.unique(before * np.int32(size) + at, return_counts=True)
+                total[code] += n.astype(np.uint32)
+        for first in range(0, size, PAIR_ROWS):
+            own = total[first * size : (first + PAIR_ROWS) * size]
+            if len(code := np.flatnonzero(own)):
+                yield pd.DataFrame({"block": [first // PAIR_ROWS], "code": [code.astype(np.uint32).tobytes()], "n": [own[code].tobytes()]})
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        block = int(rows["block"].iloc[0])
+        total = np.zeros((min(size, (block + 1) * PAIR_ROWS) - block * PAIR_ROWS) * size, np.int64)
+        for code, n in zip(rows["code"], rows["n"], strict=True):
+            total[np.frombuffer(code, np.uint32)] += np.frombuffer(n, np.uint32)
+        return pd.DataFrame({"block": [block], "n": [total.astype(np.float32).tobytes()]})
+
+    pairs = np.zeros(size * size, np.float32)
+    # Four bytes for each pair of numbers, however large the input.
+    for r in docs.select("body").mapInPandas(count, "block int, code binary, n binary").groupBy("block").applyInPandas(add, "block int, n binary").collect():
+        n = np.frombuffer(r.n, np.float32)
+        pairs[r.block * PAIR_ROWS * size :][: len(n)] = n
+    return pairs.reshape(size, size)
+
+
+def fit_model(docs: DataFrame, vocabulary: Vocabulary) -> tuple[Vocabulary, Attention, Tables, int]:
+    """The vocabulary with the frequent words of ``docs`` (id, body), tables and network from all of them, and the number of words and ends."""
+    vocabulary = vocabulary.with_words(frequent_words(docs))
+    counts, n_words, n_windows = count_units(docs, vocabulary)
+    order = np.argsort(-counts, kind="stable")
+    top = np.array([END, *order[(counts[order] > 0) & (order != END)][: attention.KNOWN - 1]], np.int64)
+    tables = attention.tables_of(count_pairs(docs, vocabulary, attention.numbers(vocabulary.size, top), len(top) + 1), top, counts)
     model = Attention(len(top) + 1)
-    train_network(docs, vocabulary, model, tables)
-    return model, tables, int(n_words)
+    train_network(docs, vocabulary, model, tables, n_windows)
+    return vocabulary, model, tables, n_words
 
 
 def fit_windows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(h, before, unit): the windows that the network is fitted on, which grow with ``docs`` (id, body), under a hash each."""
+    """(h, before, unit): windows of a share of ``docs`` (id, body), under a hash each, for trials. ``train_network`` takes all."""
     total = docs.count()
     share = max(1 / FIT_ONE_IN, FIT_TEXTS / max(1, total))
     chosen = docs if share >= 1 else docs.filter(F.pmod(F.xxhash64("id", "body"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -102,44 +168,81 @@ def fit_windows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _learner(sent: Broadcast, known: Broadcast, rounds: int, span: tuple[float, float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Trains the model that was sent on the windows of a task."""
+    """Trains the model that was sent on the units of a task."""
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        model, tables, n = copy.deepcopy(sent.value), known.value, len(rows)
-        rows = rows.sort_values(["h", "before", "unit"])
-        before, unit = (np.full((n, attention.WINDOW), END, np.int32) for _ in range(2))
-        valid = np.zeros((n, attention.WINDOW), bool)
-        for i, (b, u) in enumerate(zip(rows["before"], rows["unit"], strict=True)):
-            m = len(b) // 4
-            before[i, :m], unit[i, :m], valid[i, :m] = np.frombuffer(b, np.int32), np.frombuffer(u, np.int32), True
-        model.train(tables.number[before], tables.of_class[tables.number[unit]], valid, tables, rounds, span=span)
-        return pd.DataFrame({"n": [n], "parameters": [np.concatenate([getattr(model, x).ravel() for x in model.NAMES]).tobytes()]})
+        model, (_, tables) = copy.deepcopy(sent.value), known.value
+        rows = rows.sort_values(["h", "numbers"])
+        size = attention.WINDOW
+        parts = [np.frombuffer(x, np.uint16) for x in rows["numbers"]]
+        n = sum(-(-(len(x) - 1) // size) for x in parts)
+        before, unit, valid = np.zeros((n, size), np.int32), np.zeros((n, size), np.int32), np.zeros((n, size), bool)
+        done = 0
+        for x in parts:
+            m = len(x) - 1
+            for to, values in ((before, x[:-1]), (unit, x[1:]), (valid, True)):
+                to.reshape(-1)[done : done + m] = values
+            done += -(-m // size) * size
+        model.train(before, tables.of_class[unit], valid, tables, rounds, span=span)
+        flat = np.concatenate([getattr(model, x).ravel() for x in model.NAMES])
+        return pd.DataFrame({"task": rows["task"].iloc[:1].to_numpy(), "n": [n], "parameters": [flat.astype(np.float64).tobytes()]})
 
     return learn
 
 
-def train_network(docs: DataFrame, vocabulary: Vocabulary, model: Attention, tables: Tables) -> int:
-    """Fit ``model``: tasks train on their windows, and their parameters are averaged; returns the number of windows."""
+def _add_parameters(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of the parameters of some tasks, each as often as it has windows."""
+    rows = rows.sort_values("task")
+    total = 0.0
+    for r in rows.itertuples(index=False):
+        total = total + r.n * np.frombuffer(r.parameters, np.float64)
+    return pd.DataFrame({"part": rows["part"].iloc[:1].to_numpy(), "n": [int(rows["n"].sum())], "parameters": [total.tobytes()]})
+
+
+def train_network(docs: DataFrame, vocabulary: Vocabulary, model: Attention, tables: Tables, total: int) -> int:
+    """Fit ``model`` on all ``total`` windows of ``docs`` (id, body): tasks train on their texts, and their parameters are averaged.
+
+    Windows follow each other without sharing units, so that a pass sees each unit once. Returns the windows that
+    all passes have seen.
+    """
     spark = docs.sparkSession
-    windows = fit_windows(docs, vocabulary)
-    total = windows.count()
     passes = int(np.clip(-(-FIT_SEEN // max(1, total)), 1, FIT_PASSES))
     slices = FIT_SLICES if total > TASK_WINDOWS else 1
     tasks = -(-total // (slices * TASK_WINDOWS))
     # Without tables.within, which training has no use for.
-    known = spark.sparkContext.broadcast(attention.Tables(tables.number, tables.of_class, None, tables.classes, tables.rare))
+    known = spark.sparkContext.broadcast((vocabulary, attention.Tables(tables.number, tables.of_class, None, tables.classes, tables.rare)))
+    reach = ROW_WINDOWS * attention.WINDOW
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, tables = known.value
+        for pdf in batches:
+            texts, h = list(pdf["body"]), pdf["h"].to_numpy(np.int64).view(np.uint64)
+            for piece in attention.pieces(texts):
+                ids, counts, _ = attention.units(texts[piece], vocabulary)
+                numbers, out = tables.number[ids].astype(np.uint16), []
+                for text, first, n in zip(h[piece], (np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+                    for k in range(0, n, reach):
+                        # The unit before the first one, END (0) at a text's beginning, and the units.
+                        before = numbers[first + k - 1 : first + k].tobytes() if k else b"\0\0"
+                        out.append((int(text), k // reach, before + numbers[first + k : first + min(n, k + reach)].tobytes()))
+                named = np.array([x[0] for x in out], np.uint64) + np.array([x[1] for x in out], np.uint64)
+                named = (mix(named) >> np.uint64(1)).astype(np.int64)
+                yield pd.DataFrame({"task": (named % tasks).astype(np.int32), "h": named, "numbers": [x[2] for x in out]})
+
+    named = docs.select("body", F.xxhash64("id", "body").alias("h"))
     # Few windows stay in one task for all passes.
     steps = [(s, 1) for _ in range(passes) for s in range(slices)] if slices > 1 else [(0, passes)]
+    trained = 0
     for k, (own, rounds) in enumerate(steps if total else []):
         learn = _learner(spark.sparkContext.broadcast(model), known, rounds, (k / len(steps), (k + 1) / len(steps)))
-        dealt = windows.filter(F.col("h") % slices == own).withColumn("task", F.expr(f"(h div {slices}) % {tasks}"))
-        mean, seen = 0.0, 0
-        # A row of parameters for each TASK_WINDOWS windows, one at a time.
-        for r in dealt.groupBy("task").applyInPandas(learn, "n long, parameters binary").toLocalIterator():
-            mean, seen = mean + r.n * np.frombuffer(r.parameters, np.float32).astype(np.float64), seen + r.n
-        if seen:
-            model.load((mean / seen).astype(np.float32))
-    return total
+        rows = named.filter(F.pmod("h", F.lit(slices)) == own).mapInPandas(number, "task int, h long, numbers binary")
+        dealt = rows.repartition(min(2 * tasks, shuffle_partitions(spark)), "task")
+        learned = dealt.groupBy("task").applyInPandas(learn, "task int, n long, parameters binary").withColumn("part", F.col("task") % SUMS)
+        sums = learned.repartition(SUMS, "part").groupBy("part").applyInPandas(_add_parameters, "part int, n long, parameters binary").collect()
+        if seen := sum(r.n for r in sums):
+            model.load((sum(np.frombuffer(r.parameters, np.float64) for r in sorted(sums, key=lambda r: r.part)) / seen).astype(np.float32))
+            trained += seen * rounds
+    return trained
 
 
 def token_log10(network: np.ndarray, count: np.ndarray | float, n_train: int) -> np.ndarray:
@@ -214,13 +317,13 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
     counted each. Without training texts all counts are 0. Words are told apart by 64-bit hashes.
     """
     spark = df.sparkSession
-    small_arrow_batches(spark, 2000, "8m")
+    small_arrow_batches(spark, 2000, "4m")
     kind = df.schema[doc_id].dataType.simpleString()
     if not isinstance(df.schema[doc_id].dataType, T.IntegralType):
         raise TypeError(f"{doc_id} must be a whole number")
     vocabulary = Vocabulary.of_file(vocabulary_path)
     docs = df.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("body"), (~training_rows(F.col(doc_id))).alias("held_out"))
-    model, tables, taught = fit_model(docs.filter("not held_out").select("id", "body"), vocabulary)
+    vocabulary, model, tables, taught = fit_model(docs.filter("not held_out").select("id", "body"), vocabulary)
     release(spark)
     shared = spark.sparkContext.broadcast((vocabulary, model, tables))
     # Ranges of words by the size of the data, so that none grows with it.
@@ -235,9 +338,9 @@ def score_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
                 # The same text again, in one batch, has the same score.
                 once, again = np.unique(pdf["body"].to_numpy(object), return_inverse=True)
                 network, ends, scored = attention.score_words(list(once), vocabulary, model, tables)
-                score = np.bincount(np.repeat(np.arange(len(once)), scored.counts), network, len(once)) + ends
+                score = np.bincount(np.repeat(np.arange(len(once)), scored), network, len(once)) + ends
                 words = split_words(list(pdf["body"]), SPACED, True)
-                at = np.repeat(scored.firsts[again] - words.firsts[:-1], words.counts) + np.arange(len(words.hashes))
+                at = np.repeat((np.cumsum(scored) - scored)[again] - words.firsts[:-1], words.counts) + np.arange(len(words.hashes))
                 packed = _pack(TaskContext.get().partitionId() << 32 | k, pdf, words, network[at], ends[again], score[again] / np.log(10), parts)
                 yield pd.DataFrame(packed, columns=[x.split()[0] for x in _PACKED.split(", ")])
 

@@ -81,6 +81,26 @@ def test_lm_fit_grows_with_the_input(spark):
     assert lm_scoring.fit_windows(long, v).count() == len(attention.cut_windows(np.array([2001]))[0])
 
 
+def test_lm_network_is_fitted_on_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TASK_WINDOWS", 1000)
+    monkeypatch.setattr(lm_scoring, "FIT_SEEN", 1)
+    docs = spark.range(9000).selectExpr("id", "concat('the ab', id % 50, repeat(' the cd', cast(id % 7 as int))) body")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "q " * 20_000)], "id long, body string")).repartition(3)
+    v = attention.Vocabulary([b"the"]).with_words(lm_scoring.frequent_words(docs))
+    assert set(lm_scoring.frequent_words(docs, 3)) == set(attention.split_words(["q", "the", "cd"], attention.SPACED, True).hashes)
+    _, counts, _ = attention.units([r.body for r in docs.collect()], v)
+    t = attention.make_tables(np.zeros(1, int), np.ones(1, int), np.ones(1, np.float32), np.array([attention.END, attention.END + 1]), np.zeros(v.size))
+    want = int((-(-counts // attention.WINDOW)).sum())
+    assert lm_scoring.train_network(docs, v, attention.Attention(3), t, want) == want > 9000
+
+
+def test_attention_exponentials_of_far_rows():
+    x = np.array([[100, 99], [-200, -201], [0, 1]], np.float32)
+    e, sums, shift = attention._exponentials(x)
+    assert np.allclose(e / sums[:, None], np.exp(x - x.max(1, keepdims=True)) / np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True))
+    assert np.allclose(np.log(sums) + shift, np.logaddexp(x[:, 0], x[:, 1]))
+
+
 def test_attention_scores_each_unit_once_and_sums_to_one():
     v = attention.Vocabulary([b"the", b"of"])
     texts = ["the ab of abc", "", None, "q " * 200]
