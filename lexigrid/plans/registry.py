@@ -101,7 +101,7 @@ _register("selection_overlap", "SELECT doc_id FROM docs WHERE token_count >= 40"
 _register("selection_commit", """SELECT doc_id, CASE WHEN doc_id = 3 THEN 7 ELSE 0 END::BIGINT AS r_start, CASE WHEN doc_id = 12 THEN least(5, token_count) ELSE token_count END::BIGINT AS r_end
 FROM docs WHERE doc_id BETWEEN 3 AND 12 AND token_count > 0""")(lambda c: selection.commit_range(c, 3, 7, 12, 4))
 _register("slot_map", "SELECT doc_id, ordinal, row_number() OVER (ORDER BY doc_id) - 1 AS slot FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents) WHERE lang = 'en'")(lambda c: bins.slot_map(c, _english(c)[0]))
-_register("token_violations", "SELECT doc_id, pos, ''::VARCHAR AS broken FROM tokens WHERE length(raw) <> char_end - char_start")(lambda c: quality.token_violations(c.tokens, c.documents))
+_register("token_violations", "SELECT doc_id, pos, ''::VARCHAR AS broken FROM tokens WHERE length(raw) <> char_end - char_start")(lambda c: quality.token_violations(c.stream, c.documents))
 _register("snapshot_violations", "SELECT ''::VARCHAR AS what, 0::BIGINT AS rows FROM docs WHERE token_count < 0", )(lambda c: quality.snapshot_violations(c))
 _register("progress", "SELECT doc_id, pos, round((seq_base + pos + 1)::DOUBLE / (SELECT sum(token_count) FROM docs), 6) AS progress FROM occ JOIN docs USING (doc_id) WHERE track = 1")(lambda c: navigate.progress(c, _occ(c).filter("track = 1").select("doc_id", "pos")))
 _register("missing_documents", "SELECT doc_id FROM documents WHERE lang <> 'en'")(lambda c: selection.missing(c.documents, _english(c)[0]))

@@ -365,3 +365,13 @@ def test_occurrences_mtld_and_keyness_keep_no_tokens(spark):
     assert counts.keyness_page(c, a, b).first().total == 9
     assert "tokens" not in vars(c)
     c.close()
+
+
+def test_token_violations_look_long_texts_up_once(spark):
+    from lexigrid.operators import quality
+
+    c = Corpus(spark.createDataFrame([(1, "ab cd " * 30_000), (2, "One. Two")], "doc_id long, text string"))
+    bad = F.when((F.col("doc_id") == 1) & (F.col("pos") == 59_999), "xx").otherwise(F.col("raw"))
+    out = quality.token_violations(c.stream.withColumn("raw", bad), c.documents)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    assert [tuple(r) for r in out.collect()] == [(1, 59_999, "not the text")]
